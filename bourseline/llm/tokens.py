@@ -3,8 +3,10 @@
 BPE never merges across a pre-token, and in both vocabularies a space that
 stands before a non-space character always begins a new pre-token.  A text can
 therefore be cut there, each piece encoded once and the ids looked up again
-for every later use.  Ids are kept as little-endian 32-bit bytes, so that a
-whole document is one ``bytes.join``.
+for every later use.  A new piece is put together from its pre-tokens, which
+recur more, and new pre-tokens are encoded many at a time, set apart by a
+character whose ids are known.  Ids are kept as little-endian 32-bit bytes, so
+that a whole document is one ``bytes.join``.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 _SPACE_BEFORE_WORD = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|$)")
+_APART = "\x01"
 
 
 def public_path(name: str) -> str:
@@ -29,50 +32,80 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Generations:
+    """A bounded cache: when it is full, what was not used since the last time it was full goes."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of the keys that are not held; the others are in ``new`` from now on."""
+        absent = keys.difference(self.new)
+        if len(self.new) + len(absent) > self.limit:
+            self.old, self.new = self.new, {}
+            absent = keys
+        old = self.old
+        self.new.update([(k, old[k]) for k in absent if k in old])
+        return [k for k in absent if k not in old]
+
+
 class PieceEncoder:
-    """Encodes texts to id bytes; ``limit`` bounds the entries of its cache.
+    """Encodes texts to id bytes.
 
     ``spaced``: the vocabulary keeps white space, so a piece carries the space before it.
+    ``pieces`` and ``tokens`` bound the entries of each generation of the two caches.
     """
 
-    def __init__(self, file: str, spaced: bool, limit: int = 300_000):
+    def __init__(self, file: str, spaced: bool, pieces: int = 250_000, tokens: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.limit = limit
+        self.lead = " " if spaced else ""
         self.cut = regex.compile(BYTE_PATTERN if spaced else WORD_PATTERN).findall
-        self.pieces: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.pieces, self.tokens = Generations(pieces), Generations(tokens)
+        self.between = f"\n{_APART}\n" if spaced else f" {_APART} "
+        ids = self.tokenizer.encode(f"a{self.between}a", add_special_tokens=False).ids
+        self.between_ids = np.array(ids[1:-1], "<u4")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _many(self, tokens: list[str]) -> list[bytes]:
+        """Ids of pre-tokens that hold neither white space (but a leading space) nor the separator."""
+        ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(tokens)], add_special_tokens=False)[0].ids, "<u4")
+        width = len(self.between_ids)
+        at = np.flatnonzero(ids == self.between_ids[width // 2])
+        if len(at) != len(tokens) - 1:  # the separator's id means something else too
+            return self._whole(tokens)
+        data = ids.tobytes()
+        left, right = (at - width // 2) * 4, (at + width - width // 2) * 4
+        return [data[a:b] for a, b in zip([0, *right.tolist()], [*left.tolist(), len(data)], strict=True)]
+
     def _learn(self, missing: list[str]) -> None:
-        """Put pieces into the cache; Latin-1 ones by their pre-tokens, which recur more."""
-        if len(self.pieces) + len(missing) > self.limit:
-            self.pieces.clear()
-        if len(self.tokens) > self.limit:
-            self.tokens.clear()
-        plain = [x for x in missing if x.isascii() or max(x) <= "\xff"]
-        parts = [self.cut(x) for x in plain]
-        new = [x for x in dict.fromkeys(x for p in parts for x in p) if x not in self.tokens]
-        self.tokens.update(zip(new, self._whole(new), strict=True))
-        known = self.tokens
-        self.pieces.update((x, b"".join([known[t] for t in p])) for x, p in zip(plain, parts, strict=True))
-        rest = [x for x in missing if not (x.isascii() or max(x) <= "\xff")]
-        self.pieces.update(zip(rest, self._whole(rest), strict=True))
-
-    def _split(self, text: str) -> list[str]:
-        words = _SPACE_BEFORE_WORD.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        if self.spaced:
-            words[1:] = [" " + w for w in words[1:]]
-        return words
-
-    def encode(self, texts: list[str], group: int = 2_000_000) -> list[bytes]:
+        lead = self.lead
+        latin = [w for w in missing if w.isascii() or max(w) <= "\xff"]
+        cut = self.cut
+        parts = [cut(lead + w) for w in latin]
+        new = self.tokens.missing({t for p in parts for t in p})
+        held = self.tokens.new
+        plain = [t for t in new if _APART not in t and not (t[-1].isspace() or t[0].isspace() and t[0] != " ")]
+        for i in range(0, len(plain), 4096):
+            held.update(zip(plain[i : i + 4096], self._many(plain[i : i + 4096]), strict=True))
+        rest = [t for t in new if t not in held]
+        if rest:
+            held.update(zip(rest, self._whole(rest), strict=True))
+        self.pieces.new.update((w, b"".join([held[t] for t in p])) for w, p in zip(latin, parts, strict=True))
+        rest = [w for w in missing if w not in self.pieces.new]
+        if rest:
+            self.pieces.new.update(zip(rest, self._whole([lead + w for w in rest]), strict=True))
+
+    def encode(self, texts: list[str], group: int = 1_500_000) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         start = size = 0
@@ -84,16 +117,18 @@ class PieceEncoder:
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(x) for x in texts]
-        missing = set().union(*split).difference(self.pieces)
+        split = [_SPACE_BEFORE_WORD.split(x) if _ODD_SPACE.search(x) else x.split(" ") for x in texts]
+        heads = []
+        if self.spaced:  # no space stands before a text's first piece
+            heads = self._whole([words[0] for words in split])
+            for words in split:
+                del words[0]
+        missing = self.pieces.missing(set().union(*split))
         if missing:
-            self._learn(list(missing))
-        known = self.pieces
-        try:
-            return [b"".join([known[w] for w in words]) for words in split]
-        except KeyError:  # the cache was emptied to make room: encode what this group needs
-            self._learn(list(set().union(*split).difference(self.pieces)))
-            return [b"".join([known[w] for w in words]) for words in split]
+            self._learn(missing)
+        held = self.pieces.new
+        out = [b"".join([held[w] for w in words]) for words in split]
+        return [h + x for h, x in zip(heads, out, strict=True)] if self.spaced else out
 
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
