@@ -128,20 +128,20 @@ class Judge:
         return self.langs[best], float(1 - apart[best] / (self.far * len(top)))
 
 
-def _judge_rows(profiles: dict[str, list[int]], size: int, longest: int):
+def _judge_rows(profiles: dict[str, list[int]], size: int, longest: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(profiles, size, longest).judge
         for batch in batches:
             found = [judge(x) for x in batch.column("text").to_pylist()]
-            names = [n for n in batch.schema.names if n not in ("lang_pred", "score")]
+            names = [n for n in batch.schema.names if n not in ("lang_pred", "score") and (keep_text or n != "text")]
             columns = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = 300, longest: int = 3) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score`` (1: the profile's own ranks, 0: nothing shared)."""
+def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = 300, longest: int = 3, keep_text: bool = True) -> DataFrame:
+    """All columns of ``docs`` (without the text if ``keep_text`` is off) with ``lang_pred`` and ``score`` (1: the profile's own ranks, 0: nothing shared)."""
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(_judge_rows(profiles, size, longest), f"{ddl}, lang_pred string, score double")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept if keep_text or f.name != "text")
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(_judge_rows(profiles, size, longest, keep_text), f"{ddl}, lang_pred string, score double")

@@ -76,9 +76,14 @@ def _digits(span: Column) -> Column:
     return F.regexp_replace(span, "[^0-9]", "")
 
 
+def _luhn(digits: Column) -> Column:
+    return F.call_function("luhn_check", digits)
+
+
 def _small(part: Column) -> Column:
+    """Whether a run of digits is at most 255, however many zeros lead it."""
     bare = F.regexp_replace(part, "^0+", "")
-    return F.when(F.length(bare) <= 3, F.coalesce(F.expr("0"), F.lit(0)) + F.coalesce(bare.try_cast("int"), F.lit(0)) <= 255).otherwise(F.lit(False))
+    return (F.length(bare) <= 3) & (F.coalesce(bare.try_cast("int"), F.lit(0)) <= 255)
 
 
 def valid(kind: str, span: Column) -> Column:
@@ -86,7 +91,7 @@ def valid(kind: str, span: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(span, r"\."), _small)
     if kind == "card":
-        return F.length(digits).between(14, 19) & F.luhn_check(digits)
+        return F.length(digits).between(14, 19) & _luhn(digits)
     if kind == "phone":
         return F.length(digits).between(10, 15)
     return F.lit(True)
@@ -94,13 +99,16 @@ def valid(kind: str, span: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """array<struct<start, rank, end, kind>> of all base spans of a cleaned text, by start and then kind."""
-    each = []
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    for rank, kind in enumerate(KINDS):
+
+    def of(rank: int, kind: str) -> Column:
         pattern, needs = BASE[kind]
         may = F.contains(text, F.lit(needs)) if needs else F.rlike(text, F.lit("[0-9]"))
-        kept = F.filter(found(text, pattern), lambda m, kind=kind: valid(kind, m["span"]))
-        each.append(F.when(may, F.transform(kept, lambda m, rank=rank, kind=kind: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))).otherwise(empty))
+        kept = F.filter(found(text, pattern), lambda m: valid(kind, m["span"]))
+        shaped = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
+        return F.when(may, shaped).otherwise(empty)
+
+    each = [of(rank, kind) for rank, kind in enumerate(KINDS)]
     return F.array_sort(F.concat(*each))
 
 
@@ -125,7 +133,7 @@ def with_features(rows: DataFrame) -> DataFrame:
             "groups": number(F.size(groups)),
             "longest": number(F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0))),
             "first": number(F.coalesce(F.length(F.get(groups, 0)), F.lit(0))),
-            "luhn": flag(F.when(F.length(digits).between(13, 19), F.luhn_check(digits)).otherwise(F.lit(False))),
+            "luhn": flag(F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(F.lit(False))),
             "small_parts": flag(F.forall(groups, _small)),
             "disguised": flag(F.rlike(span, F.lit(r"\((?:at|dot|\.)\)|\[(?:at|dot|\.)\]|\{(?:at|dot)\}"))),
             "cue": flag(F.rlike(F.col("before"), F.lit(CUES))),
@@ -157,7 +165,7 @@ def examples(spark: SparkSession, rows: int = 4200) -> DataFrame:
     filled = F.array_join(F.transform(F.split("template", ""), lambda c, i: F.when(c == "#", chance(i, 10).cast("string")).when(c == "~", letter(i)).otherwise(c)), "")
     made = made.withColumn("filled", filled)
     bare = F.regexp_replace("filled", "[^0-9]", "")
-    fits = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: F.luhn_check(F.concat(bare, d.cast("string"))))
+    fits = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: _luhn(F.concat(bare, d.cast("string"))))
     last = F.get(fits, 0)
     span = F.translate(F.translate("filled", "*", "\u0003"), "!", "\u0004")
     span = F.regexp_replace(F.regexp_replace(span, "\u0003", last.cast("string")), "\u0004", F.pmod(last + 3, F.lit(10)).cast("string"))
@@ -192,9 +200,13 @@ def _candidates(rows: DataFrame) -> DataFrame:
     digit = F.rlike(F.col("body"), F.lit("[0-9]"))
     at = F.rlike(F.col("body"), F.lit(r"@|[(\[{]at[)\]}]|\x20at\x20"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,span:string>>")
-    each = [F.when(at if kind == "email" else digit, F.transform(found(F.col("body"), WIDE[kind]), lambda m, kind=kind: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["span"].alias("span")))).otherwise(none) for kind in KINDS]
+
+    def of(kind: str) -> Column:
+        shaped = F.transform(found(F.col("body"), WIDE[kind]), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["span"].alias("span")))
+        return F.when(at if kind == "email" else digit, shaped).otherwise(none)
+
     free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    rows = rows.filter(at | digit).withColumn("c", F.explode(F.filter(F.concat(*each), free)))
+    rows = rows.filter(at | digit).withColumn("c", F.explode(F.filter(F.concat(*map(of, KINDS)), free)))
     return rows.select("key", "c.*", F.expr("substring(body, greatest(1, c.start - 23), least(24, c.start))").alias("before"), F.expr("substring(body, c.end + 1, 8)").alias("after"))
 
 
@@ -233,5 +245,6 @@ def redact(docs: DataFrame, model: GBTClassificationModel, limits: dict[str, flo
 
 def digest(spans: DataFrame) -> DataFrame:
     """Counts of base spans by kind, their hash, and all spans as text."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in KINDS]
     return spans.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "added"))).alias("spans"))

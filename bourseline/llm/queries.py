@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, packing, token_store
+from . import html_text, langid, media, packing, pii, token_store
 from .common import fresh_path, load
 
 
@@ -14,18 +15,35 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"))
 
 
+def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = langid.learn_profiles(docs)
+    rows = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return langid.identify(rows, profiles, keep_text=False)
+
+
+def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, limits = pii.train(spark)
+    return pii.digest(pii.find(load(spark, sf_dir, "documents"), model, limits))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     token_store.write_store(load(spark, sf_dir, "documents"), path)
     return token_store.read_digest(spark, path)
 
 
+def op9_best_region_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    return html_text.extract_text(pages, html_text.learn_weights(pages))
+
+
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "media")
     media.write_media(load(spark, sf_dir, "documents"), path)
     return media.media_digest(spark.read.parquet(path))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_harmonic_packing, op8_token_store, op10_transport_stream)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_harmonic_packing, op3_rank_order_language, op7_boosted_pii, op8_token_store, op9_best_region_html, op10_transport_stream)}
 
 ORACLE_SQL: dict[str, str] = {}
