@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, media, packing, pii, token_store
+from . import html_text, langid, media, near_dup, packing, pii, token_store
 from .common import fresh_path, load
 
 
@@ -22,6 +22,10 @@ def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, profiles, keep_text=False)
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, limits = pii.train(spark)
     return pii.digest(pii.find(load(spark, sf_dir, "documents"), model, limits))
@@ -44,6 +48,6 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(spark.read.parquet(path))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_harmonic_packing, op3_rank_order_language, op7_boosted_pii, op8_token_store, op9_best_region_html, op10_transport_stream)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_harmonic_packing, op3_rank_order_language, op5_order_minhash, op7_boosted_pii, op8_token_store, op9_best_region_html, op10_transport_stream)}
 
 ORACLE_SQL: dict[str, str] = {}
