@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, media, near_dup, packing, pii, token_store
+from . import decontaminate, html_text, langid, media, near_dup, packing, pii, token_store
 from .common import fresh_path, load
 
 
+def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(spark.read.parquet(path))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_harmonic_packing, op3_rank_order_language, op5_order_minhash, op7_boosted_pii, op8_token_store, op9_best_region_html, op10_transport_stream)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_latent_decontamination, op2_harmonic_packing, op3_rank_order_language, op5_order_minhash, op7_boosted_pii, op8_token_store, op9_best_region_html, op10_transport_stream)}
 
 ORACLE_SQL: dict[str, str] = {}
