@@ -4,8 +4,7 @@ BPE never merges across a pre-token, and in both vocabularies a space that
 stands before a non-space character always begins a new pre-token.  A text can
 therefore be cut there, each piece encoded once and the ids looked up again
 for every later use.  A new piece is put together from its pre-tokens, which
-recur more, and new pre-tokens are encoded many at a time, set apart by a
-character whose ids are known.  Ids are kept as little-endian 32-bit bytes, so
+recur more.  Ids are kept as little-endian 32-bit bytes, so
 that a whole document is one ``bytes.join``.
 """
 
@@ -23,7 +22,16 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 _SPACE_BEFORE_WORD = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|$)")
-_APART = "\x01"
+
+
+def _byte_chars() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as a printable character: itself if it is one, else one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_CHARS = _byte_chars()
 
 
 def public_path(name: str) -> str:
@@ -68,38 +76,25 @@ class PieceEncoder:
         self.lead = " " if spaced else ""
         self.cut = regex.compile(BYTE_PATTERN if spaced else WORD_PATTERN).findall
         self.pieces, self.tokens = Generations(pieces), Generations(tokens)
-        self.between = f"\n{_APART}\n" if spaced else f" {_APART} "
-        ids = self.tokenizer.encode(f"a{self.between}a", add_special_tokens=False).ids
-        self.between_ids = np.array(ids[1:-1], "<u4")
+        self.tokenize = self.tokenizer.model.tokenize
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
     def _many(self, tokens: list[str]) -> list[bytes]:
-        """Ids of pre-tokens that hold neither white space (but a leading space) nor the separator."""
-        ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(tokens)], add_special_tokens=False)[0].ids, "<u4")
-        width = len(self.between_ids)
-        at = np.flatnonzero(ids == self.between_ids[width // 2])
-        if len(at) != len(tokens) - 1:  # the separator's id means something else too
-            return self._whole(tokens)
-        data = ids.tobytes()
-        left, right = (at - width // 2) * 4, (at + width - width // 2) * 4
-        return [data[a:b] for a, b in zip([0, *right.tolist()], [*left.tolist(), len(data)], strict=True)]
+        """Ids of pre-tokens, merged by the vocabulary's model from their bytes."""
+        tokenize, table = self.tokenize, _BYTE_CHARS
+        return [np.array([x.id for x in tokenize(t.encode().decode("latin-1").translate(table))], "<u4").tobytes() for t in tokens]
 
     def _learn(self, missing: list[str]) -> None:
         lead = self.lead
         latin = [w for w in missing if w.isascii() or max(w) <= "\xff"]
         cut = self.cut
-        parts = [cut(lead + w) for w in latin]
+        parts = [cut(lead + w) for w in latin] if self.spaced else [cut(w.lower()) for w in latin]
         new = self.tokens.missing({t for p in parts for t in p})
         held = self.tokens.new
-        plain = [t for t in new if _APART not in t and not (t[-1].isspace() or t[0].isspace() and t[0] != " ")]
-        for i in range(0, len(plain), 4096):
-            held.update(zip(plain[i : i + 4096], self._many(plain[i : i + 4096]), strict=True))
-        rest = [t for t in new if t not in held]
-        if rest:
-            held.update(zip(rest, self._whole(rest), strict=True))
+        held.update(zip(new, self._many(new), strict=True))
         self.pieces.new.update((w, b"".join([held[t] for t in p])) for w, p in zip(latin, parts, strict=True))
         rest = [w for w in missing if w not in self.pieces.new]
         if rest:
