@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, media, near_dup, packing, pii, token_store
+from . import decontaminate, html_text, langid, media, near_dup, packing, pii, substrings, token_store
 from .common import fresh_path, load
 
 
@@ -26,6 +26,10 @@ def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, profiles, keep_text=False)
 
 
+def op4_de_bruijn_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digest(load(spark, sf_dir, "documents"))
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -52,6 +56,6 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(spark.read.parquet(path))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_latent_decontamination, op2_harmonic_packing, op3_rank_order_language, op5_order_minhash, op7_boosted_pii, op8_token_store, op9_best_region_html, op10_transport_stream)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_latent_decontamination, op2_harmonic_packing, op3_rank_order_language, op4_de_bruijn_windows, op5_order_minhash, op7_boosted_pii, op8_token_store, op9_best_region_html, op10_transport_stream)}
 
 ORACLE_SQL: dict[str, str] = {}
