@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, media, near_dup, packing, pii, substrings, token_store
+from . import decontaminate, html_text, langid, lines, media, near_dup, packing, pii, substrings, token_store
 from .common import fresh_path, load
 
 
@@ -34,6 +34,11 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.without_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), F.col("kept_sha256_").alias("kept_sha256"))
+
+
 def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, limits = pii.train(spark)
     return pii.digest(pii.find(load(spark, sf_dir, "documents"), model, limits))
@@ -56,6 +61,6 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(spark.read.parquet(path))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_latent_decontamination, op2_harmonic_packing, op3_rank_order_language, op4_de_bruijn_windows, op5_order_minhash, op7_boosted_pii, op8_token_store, op9_best_region_html, op10_transport_stream)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_latent_decontamination, op2_harmonic_packing, op3_rank_order_language, op4_de_bruijn_windows, op5_order_minhash, op6_fuzzy_lines, op7_boosted_pii, op8_token_store, op9_best_region_html, op10_transport_stream)}
 
 ORACLE_SQL: dict[str, str] = {}
