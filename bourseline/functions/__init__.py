@@ -1 +1 @@
-
+"""Column functions: text rules, identifiers, market rules."""
