@@ -37,7 +37,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executor never replays the work above it.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
