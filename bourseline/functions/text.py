@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Suffixes of company names that carry no identity (fixed values).
 LEGAL_SUFFIXES = ("LTD", "LIMITED", "PVT", "PRIVATE", "INC", "CORP", "CO", "COMPANY", "PLC")
@@ -103,7 +104,7 @@ def identity_key(isin: Column, exchange: Column, symbol: Column, name: Column) -
     return F.when(filled(isin), isin).when(filled(symbol), F.concat_ws(":", exchange, symbol)).otherwise(F.concat_ws(":", exchange, name))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 M / T of the recursive longest matching blocks; no built-in function has these semantics. Null for a null."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -1 +1 @@
-
+"""Readers of market files and writers of reports."""
