@@ -23,7 +23,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -103,19 +102,17 @@ def _cut_documents(file: str, end_id: int, capacity: int, slack: float, tail: in
 def _place_last(capacity: int, first_id: int):
     """Longest first into the first sequence with room; the rows are bounded by the capacity."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "part", "nth"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"]).to_pylist()
+        rows.sort(key=lambda r: (-r["length"], r["doc_id"] is None, r["doc_id"] or 0, r["start"], r["part"], r["nth"]))
         room: list[int] = []
-        ids, offsets = [], []
-        for length in rows["length"]:
-            at = next((i for i, free in enumerate(room) if free >= length), len(room))
+        for r in rows:
+            at = next((i for i, free in enumerate(room) if free >= r["length"]), len(room))
             if at == len(room):
                 room.append(capacity)
-            ids.append(first_id + at)
-            offsets.append(capacity - room[at])
-            room[at] -= length
-        rows["sequence_id"], rows["offset"] = ids, offsets
-        return rows[list(_RESULT)].astype("int64")
+            r["sequence_id"], r["offset"] = first_id + at, capacity - room[at]
+            room[at] -= r["length"]
+        return pa.table({c: pa.array([r[c] for r in rows], pa.int64()) for c in _RESULT})
 
     return run
 
@@ -134,7 +131,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_
     shared_id = F.lit(1 << 60) + F.col("k") * F.lit(1 << 44) + F.col("bin")
     within = Window.partitionBy("sequence_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     shared = ranked.filter(full).withColumn("sequence_id", shared_id).withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0))).select(*_RESULT)
-    last = ranked.filter(~full).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_place_last(capacity, 1 << 61), ", ".join(f"`{c}` long" for c in _RESULT))
+    last = ranked.filter(~full).withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_place_last(capacity, 1 << 61), ", ".join(f"`{c}` long" for c in _RESULT))
     return done.unionByName(shared).unionByName(last)
 
 
