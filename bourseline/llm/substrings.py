@@ -92,7 +92,7 @@ class Batch:
         n = len(self.words) - size + 1
         if n < 1:
             self.edges = np.empty(0, np.uint64)
-            self.at = self.doc = np.empty(0, np.int64)
+            self.at = self.doc = self.word = np.empty(0, np.int64)
             return
         h = np.fromiter((hashes[w] for w in self.words), np.uint64, len(self.words))
         edges = np.zeros(n, np.uint64)
