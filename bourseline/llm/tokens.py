@@ -66,7 +66,7 @@ class PieceEncoder:
     ``pieces`` and ``tokens`` bound the entries of each generation of the two caches.
     """
 
-    def __init__(self, file: str, spaced: bool, pieces: int = 250_000, tokens: int = 500_000):
+    def __init__(self, file: str, spaced: bool, pieces: int = 400_000, tokens: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -118,11 +118,18 @@ class PieceEncoder:
             heads = self._whole([words[0] for words in split])
             for words in split:
                 del words[0]
-        missing = self.pieces.missing(set().union(*split))
-        if missing:
-            self._learn(missing)
-        held = self.pieces.new
-        out = [b"".join([held[w] for w in words]) for words in split]
+        get = self.pieces.new.get
+        found = [list(map(get, words)) for words in split]
+        holes = [(words, own, [i for i, x in enumerate(own) if x is None]) for words, own in zip(split, found, strict=True) if None in own]
+        if holes:
+            missing = self.pieces.missing({words[i] for words, _, at in holes for i in at})
+            if missing:
+                self._learn(missing)
+            held = self.pieces.new
+            for words, own, at in holes:
+                for i in at:
+                    own[i] = held[words[i]]
+        out = list(map(b"".join, found))
         return [h + x for h, x in zip(heads, out, strict=True)] if self.spaced else out
 
 
