@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import texts_of
+
 UNKNOWN = "und"
 
 
@@ -91,7 +93,7 @@ def learn_profiles(docs: DataFrame, size: int = 400, longest: int = 3, sample_do
     labelled = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     first = Window.partitionBy("lang").orderBy("order", "doc_id")
     chosen = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("order")).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample_docs).select("doc_id").distinct()
-    sample = labelled.select("doc_id", "lang", "text").join(chosen, "doc_id", "left_semi")
+    sample = texts_of(labelled.select("doc_id", "lang", "text"), chosen)
     counts = sample.mapInArrow(_count_rows(longest), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= size)
     profiles: dict[str, list[int]] = {}
