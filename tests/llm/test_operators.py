@@ -221,6 +221,7 @@ def test_banded_alignment():
         d = plain_edits(a, b)
         for limit in range(6):
             assert near_dup.banded_edits(a, b, limit) == (d if d <= limit else None)
+        assert lines.edits("".join(map(str, a)), "".join(map(str, b))) == d
 
 
 def plain_classes(rows):
