@@ -403,3 +403,27 @@ def test_html(spark):
 
 def test_queries_are_registered():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+
+
+def planted_edits(kind):
+    """Lines of 8 to 40 invented words and a copy of each with one word or one character changed, at edit similarity 0.85 at least."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("bcdfglmnprst")) + rng.choice(list("aeiou")) for _ in range(n)) for n in rng.integers(1, 6, 3000)]
+    out = []
+    while len(out) < 400:
+        own = [words[i] for i in rng.integers(0, len(words), rng.integers(8, 41))]
+        new, i = list(own), rng.integers(len(own))
+        new[i] = words[rng.integers(len(words))] if kind == "word" else new[i][:-1] + "x"
+        one, two = " ".join(own), " ".join(new)
+        if one != two and plain_edits(one, two) <= int(0.15 * max(len(one), len(two))):
+            out.append((one, two))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["word", "character"])
+def test_lines_with_one_edit_are_found(spark, kind):
+    pairs = planted_edits(kind)
+    rows = [(2 * i + k, line) for i, pair in enumerate(pairs) for k, line in enumerate(pair)]
+    got = {r["doc_id"]: r["n_removed_"] for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i] for i in range(len(pairs))) == 0
+    assert sum(got[2 * i + 1] for i in range(len(pairs))) >= 0.98 * len(pairs)
