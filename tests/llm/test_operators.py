@@ -427,3 +427,13 @@ def test_lines_with_one_edit_are_found(spark, kind):
     got = {r["doc_id"]: r["n_removed_"] for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[2 * i] for i in range(len(pairs))) == 0
     assert sum(got[2 * i + 1] for i in range(len(pairs))) >= 0.98 * len(pairs)
+
+
+def test_lines_of_one_hash_are_all_compared(spark):
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}word" for a in "bcdf" for b in "aeiou"]
+    forms = [" ".join(words[i] for i in rng.permutation(20)) for _ in range(40)]
+    rows = [(2 * i + k, line) for i, form in enumerate(forms) for k, line in enumerate((form, form[:40] + form[40:].replace(form.split()[-1], form.split()[-2])))]
+    want = {d for d, _ in rows if d % 2}
+    got = {r["doc_id"]: r["n_removed_"] for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d for d, n in got.items() if n} == want
