@@ -13,8 +13,7 @@
    found there.  Verbatim: ``verbatim`` of the item's words in order and half of
    the answer.  Paraphrase: ``loose`` of the words and ``answer`` of the answer.
 
-Statistics and search cover all words of all documents; the vectors are fitted
-on a bounded sample (``fit_docs``).  Sizes on the driver depend on the number
+Statistics, vectors and search cover all words of all documents.  Sizes on the driver depend on the number
 of terms and vectors alone.  The benchmark is the
 stated query set, taken in blocks of ``block_items``.
 
@@ -145,15 +144,34 @@ def term_weights(ids: DataFrame) -> tuple[np.ndarray, int]:
     return np.log((1 + n) / (1 + total[1:].astype(float))) + 1, n
 
 
-def latent_basis(ids: DataFrame, idf: np.ndarray, rank: int = 44, extra: int = 8, common: int = 12, seed: int = 7, fit_docs: int = 20_000) -> np.ndarray:
+def passages_with(ids: DataFrame, words: np.ndarray) -> np.ndarray:
+    """In how many passages each of the words (sorted ids) stands, exactly."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(words), np.int64)
+        for chunk in _chunks(batches):
+            starts = _passages(chunk)[1]
+            own = np.frombuffer(b"".join(b for _, b in chunk), "<u4")
+            at = np.searchsorted(words, own)
+            at[at == len(words)] = 0
+            hit = np.flatnonzero(words[at] == own)
+            passage = np.searchsorted(starts, hit, side="right")
+            total += np.bincount(np.unique(passage * len(words) + at[hit]) % len(words), minlength=len(words))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["at", "n"])
+
+    out = np.zeros(len(words), np.int64)
+    for row in ids.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[row["at"]] = row["n"]
+    return out
+
+
+def latent_basis(ids: DataFrame, idf: np.ndarray, rank: int = 44, extra: int = 8, common: int = 12, seed: int = 7) -> np.ndarray:
     """TERMS x rank matrix that takes TF-IDF rows to whitened latent coordinates.
 
     The ``common`` strongest directions tell the language and its frequent words
-    and are left out.  It is fitted on the passages of at most ``fit_docs`` documents, those whose
-    doc_id has the least hash; the search covers every document.
+    and are left out.  It is fitted on the passages of all documents.
     """
-    chosen = ids.select("doc_id", F.xxhash64("doc_id").alias("order")).orderBy("order", "doc_id").limit(fit_docs).select("doc_id").distinct()
-    ids = stored(ids.join(F.broadcast(chosen), "doc_id", "left_semi"), "sample")
     width = common + rank + extra
     omega = np.random.default_rng(seed).standard_normal((TERMS, width)).astype(np.float32)
 
@@ -217,7 +235,7 @@ def longest_common(bits: dict[int, int], length: int, words: list[int]) -> int:
 class Items:
     """A block of benchmark items, ready for the search."""
 
-    def __init__(self, rows: list[tuple[int, np.ndarray]], basis: np.ndarray, idf: np.ndarray):
+    def __init__(self, rows: list[tuple[int, np.ndarray]], basis: np.ndarray, known: np.ndarray, frequency: np.ndarray):
         self.ids = [i for i, _ in rows]
         self.words = [w for _, w in rows]
         vectors = np.array([basis[(w & np.uint32(TERMS - 1)).astype(np.int64)].sum(axis=0) for w in self.words], np.float32).reshape(len(rows), basis.shape[1])
@@ -231,7 +249,7 @@ class Items:
                 bits[x] = bits.get(x, 0) | 1 << i
             self.bits.append(bits)
             own = np.unique(w)
-            rare = own[np.lexsort((own, -idf[(own & np.uint32(TERMS - 1)).astype(np.int64)]))]
+            rare = own[np.lexsort((own, frequency[np.searchsorted(known, own)]))]
             self.answers.append(set(rare[: max(3, len(own) // 4)].tolist()))
         pairs = np.array([(w, j) for j, a in enumerate(self.answers) for w in a], np.int64).reshape(-1, 2)
         pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
@@ -349,7 +367,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 44, cosine: fl
     block: list[tuple[int, np.ndarray]] = []
 
     def searched(block: list[tuple[int, np.ndarray]]) -> DataFrame:
-        return ids.mapInArrow(_search(Items(block, basis, idf), basis, cosine, verbatim, loose, answer), _MATCHES)
+        known = np.unique(np.concatenate([w for _, w in block]))
+        return ids.mapInArrow(_search(Items(block, basis, known, passages_with(ids, known)), basis, cosine, verbatim, loose, answer), _MATCHES)
 
     blocks = []
     for row in rows.orderBy("item_id", "text").toLocalIterator():

@@ -437,3 +437,18 @@ def test_lines_of_one_hash_are_all_compared(spark):
     want = {d for d, _ in rows if d % 2}
     got = {r["doc_id"]: r["n_removed_"] for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {d for d, n in got.items() if n} == want
+
+
+def test_vectors_are_fitted_on_all_documents_and_words_counted_exactly(spark, docs):
+    rows = docs.select("doc_id", "text").limit(60)
+    last = spark.range(20_100).selectExpr("id + 1000000 AS doc_id").orderBy(F.xxhash64("doc_id").desc()).first()["doc_id"]
+    text = F.when(F.col("doc_id") == last, "solitary unusualwording herein").otherwise("sole subject of these many")
+    many = decontaminate.tokenized(spark.range(20_100).select((F.col("id") + 1_000_000).alias("doc_id")).withColumn("text", text))
+    terms = decontaminate.word_ids("solitary unusualwording herein", decontaminate._Ids()) & np.uint32(decontaminate.TERMS - 1)
+    basis = decontaminate.latent_basis(many, decontaminate.term_weights(many)[0], rank=4, common=0)
+    assert (np.abs(basis[terms]).sum(axis=1) > 0).all()  # the document of greatest hash is in no sample
+    ids = decontaminate.tokenized(rows)
+    own = [decontaminate.word_ids(r["text"], decontaminate._Ids()) for r in rows.collect()]
+    known = np.unique(np.concatenate(own))
+    want = [sum(w in set(x[i : i + decontaminate.PASSAGE].tolist()) for x in own for i in range(0, len(x), decontaminate.PASSAGE)) for w in known[:50].tolist()]
+    assert decontaminate.passages_with(ids, known)[:50].tolist() == want
