@@ -7,7 +7,8 @@
    summed by blocks of terms, and an r x r Gram matrix of the projected rows
    gives the rotation and the singular values.
 3. Every document is searched with windows of 16, 32 and 64 words: the whitened
-   latent vectors of its windows against those of the benchmark items.
+   latent vectors of its windows against those of the benchmark items, and every
+   run of ``RUN`` words against those of the items.
 4. Candidates are verified on the words: the longest common subsequence of item
    and surrounding words, and the share of the item's rarest words (its answer)
    found there.  Verbatim: ``verbatim`` of the item's words in order and half of
@@ -36,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .near_dup import mixed
 
 TERMS = 1 << 14
 PASSAGE = 64
 STEP = 8
 WINDOWS = (16, 32, 64)
+RUN = 4  # words in a row that a document and an item share are reason enough to verify
 _BLOCK = 2048
 #: Bytes of lower-case UTF-8 that part words: all of ASCII but letters and digits.
 _APART = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -232,6 +235,14 @@ def longest_common(bits: dict[int, int], length: int, words: list[int]) -> int:
     return length - row.bit_count()
 
 
+def _runs(words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all runs of ``RUN`` words."""
+    out = np.zeros(max(0, len(words) - RUN + 1), np.uint64)
+    for j in range(RUN):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[j : j + len(out)].astype(np.uint64))
+    return out
+
+
 class Items:
     """A block of benchmark items, ready for the search."""
 
@@ -258,6 +269,29 @@ class Items:
         self.rare_item = pairs[:, 1]
         self.needed = np.array([-(-len(a) // 2) for a in self.answers])
 
+        runs = [(h, j, i) for j, w in enumerate(self.words) if len(w) >= 8 for i, h in enumerate(_runs(w).tolist())]
+        self.run, self.run_item, self.run_place = (np.array([x[i] for x in sorted(runs)], t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
+        self.run, self.run_first = np.unique(self.run, return_index=True)
+        self.run_count = np.diff(np.append(self.run_first, len(runs)))
+
+    def anchored(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
+        """Document, item and the place where the item would begin, wherever both share a run of ``RUN`` words."""
+        own = _runs(words)
+        if not len(self.run) or not len(own):
+            return []
+        at = np.searchsorted(self.run, own)
+        at[at == len(self.run)] = 0
+        hit = np.flatnonzero(self.run[at] == own)
+        doc = np.searchsorted(first, hit, side="right") - 1
+        hit, doc = hit[hit + RUN <= first[doc + 1]], doc[hit + RUN <= first[doc + 1]]
+        n = self.run_count[at[hit]]
+        entry = np.repeat(self.run_first[at[hit]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        doc, place = np.repeat(doc, n), np.repeat(hit, n)
+        start = np.maximum(0, place - first[doc] - self.run_place[entry])
+        # one alignment reaches half an item further on both sides, so starts within STEP words of each other are one
+        found = np.unique(np.stack([doc, self.run_item[entry], start // STEP], axis=1), axis=0)
+        return [(d, j, a * STEP) for d, j, a in found.tolist()]
+
     def answer_counts(self, words: np.ndarray, block: np.ndarray, blocks: int) -> np.ndarray:
         """For each item, how often its answer words stand before each block: (blocks + 1) x items."""
         at = np.searchsorted(self.rare, words)
@@ -315,8 +349,8 @@ def _search(items: Items, basis: np.ndarray, cosine: float, verbatim: float, loo
                 if not len(sides[k]):
                     continue
                 span = size // STEP
-                # long windows begin at every second block; one that the document's end cuts short is that of its last words
-                here = np.flatnonzero((np.arange(len(starts)) - opening) % (2 if k else 1) == 0)
+                # one that the document's end cuts short is that of its last words
+                here = np.arange(len(starts))
                 stop = np.minimum(here + span, last[here])
                 begin = np.maximum(stop - span, opening[here])
                 window = (total[stop] - total[begin]).astype(np.float32)
@@ -337,6 +371,9 @@ def _search(items: Items, basis: np.ndarray, cosine: float, verbatim: float, loo
                         a = int(starts[begin[i]] - first[d])
                         if good := items.verify(j, text, a, a + size, verbatim, loose, answer):
                             found[d, j] = (float(score[x]), *good)
+            for d, j, a in items.anchored(words, first):  # runs of words that the vectors may have missed
+                if (d, j) not in found and (good := items.verify(j, words[first[d] : first[d + 1]], a, a + len(items.words[j]), verbatim, loose, answer)):
+                    found[d, j] = (1.0, *good)
             for j in short:  # too short for a window: found by their words
                 n = len(items.words[j])
                 hits = np.flatnonzero(words[: len(words) - n + 1] == items.words[j][0]) if len(words) >= n else []

@@ -452,3 +452,12 @@ def test_vectors_are_fitted_on_all_documents_and_words_counted_exactly(spark, do
     known = np.unique(np.concatenate(own))
     want = [sum(w in set(x[i : i + decontaminate.PASSAGE].tolist()) for x in own for i in range(0, len(x), decontaminate.PASSAGE)) for w in known[:50].tolist()]
     assert decontaminate.passages_with(ids, known)[:50].tolist() == want
+
+
+def test_verbatim_passages_need_no_vectors(spark, docs):
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    items = {r["item_id"]: r["text"] for r in bench.collect() if len(decontaminate.word_ids(r["text"], decontaminate._Ids())) >= 8}
+    other = [x for r in docs.select("text").limit(40).collect() for x in (r["text"] or "").split()]
+    rows = [(i, " ".join(other[7 * k : 7 * k + 50 + k % 9] + text.split() + other[7 * k + 60 : 7 * k + 120])) for k, (i, text) in enumerate(items.items())]
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench, cosine=2.0)
+    assert {(i, i) for i in items} <= {(r["doc_id"], r["item_id"]) for r in found.collect()}
