@@ -88,11 +88,18 @@ def _count_rows(longest: int):
     return run
 
 
+def least_of_each(rows: DataFrame, number: int, salts: int = 64) -> DataFrame:
+    """The ``number`` rows of least (order, doc_id) of each language, by way of those of each of its ``salts`` parts, so that no task holds a language."""
+    rank = F.row_number()
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(salts)))
+    rows = rows.withColumn("rank", rank.over(Window.partitionBy("lang", "salt").orderBy("order", "doc_id"))).filter(F.col("rank") <= number)
+    return rows.withColumn("rank", rank.over(Window.partitionBy("lang").orderBy("order", "doc_id"))).filter(F.col("rank") <= number)
+
+
 def learn_profiles(docs: DataFrame, size: int = 400, longest: int = 3, sample_docs: int = 1500) -> dict[str, list[int]]:
     """The ``size`` most frequent n-grams of each language, from a bounded sample of labelled documents."""
     labelled = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
-    first = Window.partitionBy("lang").orderBy("order", "doc_id")
-    chosen = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("order")).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample_docs).select("doc_id").distinct()
+    chosen = least_of_each(labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("order")), sample_docs).select("doc_id").distinct()
     sample = texts_of(labelled.select("doc_id", "lang", "text"), chosen)
     counts = sample.mapInArrow(_count_rows(longest), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= size)

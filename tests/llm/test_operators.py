@@ -461,3 +461,12 @@ def test_verbatim_passages_need_no_vectors(spark, docs):
     rows = [(i, " ".join(other[7 * k : 7 * k + 50 + k % 9] + text.split() + other[7 * k + 60 : 7 * k + 120])) for k, (i, text) in enumerate(items.items())]
     found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench, cosine=2.0)
     assert {(i, i) for i in items} <= {(r["doc_id"], r["item_id"]) for r in found.collect()}
+
+
+def test_language_sample_is_taken_in_parts(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 5 < 3 THEN 'en' ELSE 'fr' END AS lang", "xxhash64(id) AS `order`")
+    found = langid.least_of_each(rows, 100)
+    want = {lang: sorted(((r["order"], r["doc_id"]) for r in rows.collect() if r["lang"] == lang))[:100] for lang in ("en", "fr")}
+    got = found.collect()
+    assert {lang: sorted((r["order"], r["doc_id"]) for r in got if r["lang"] == lang) for lang in want} == want
+    assert "salt" in found.columns
