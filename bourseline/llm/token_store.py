@@ -5,8 +5,8 @@ that it works on any store and survives lost executors.
 
 ``dictionary``  one row: sha256, the zstandard dictionary, the width of an id.
 ``blocks``      rows of up to ``block_ids`` ids: shard, sequence in the shard,
-                ids of the shard before the block, the dictionary's sha256, and
-                the offset index (doc_ids, n_tokens, byte offsets) beside one
+                ids of the shard before the block, the dictionary's sha256, the
+                least and greatest doc_id (for pruning), and the offset index (doc_ids, n_tokens, byte offsets) beside one
                 blob of zstandard frames, a frame for each document.
 
 A short document is read by one slice of the blob: no other frame is touched.
@@ -33,7 +33,7 @@ from .tokens import encoder, public_path
 
 END_ID = 2
 
-_BLOCKS = "shard long, block long, ids_before long, n_ids long, dictionary string, doc_ids array<long>, n_tokens array<long>, offsets array<long>, frames binary"
+_BLOCKS = "shard long, block long, ids_before long, n_ids long, dictionary string, least_doc long, greatest_doc long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, frames binary"
 
 
 def _train(file: str, end_id: int, width: int, size: int):
@@ -73,8 +73,9 @@ def _write_blocks(file: str, end_id: int, width: int, data: bytes, sha: str, blo
         def flush() -> pa.RecordBatch:
             offsets = [0, *np.cumsum([len(x) for x in frames]).tolist()]
             n = sum(counts)
-            values = [[shard], [block], [before], [n], [sha], [docs], [counts], [offsets], [b"".join(frames)]]
-            kinds = [pa.int64()] * 4 + [pa.string()] + [pa.list_(pa.int64())] * 3 + [pa.binary()]
+            known = [d for d in docs if d is not None]
+            values = [[shard], [block], [before], [n], [sha], [min(known, default=None)], [max(known, default=None)], [docs], [counts], [offsets], [b"".join(frames)]]
+            kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2 + [pa.list_(pa.int64())] * 3 + [pa.binary()]
             names = [x.split()[0] for x in _BLOCKS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=names)
 
@@ -157,9 +158,9 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
-    """The ids of the documents with this doc_id: only its frames are decompressed."""
+    """The ids of the documents with this doc_id: blocks are pruned by their doc_ids, and only its frames are decompressed."""
     held = {r["dictionary"]: (bytes(r["data"]), r["width"]) for r in spark.read.parquet(f"{path}/dictionary").collect()}
-    found = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").filter(F.array_contains("doc_ids", doc_id)).orderBy("shard", "block")
+    found = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").filter((F.col("least_doc") <= doc_id) & (F.col("greatest_doc") >= doc_id)).filter(F.array_contains("doc_ids", doc_id)).orderBy("shard", "block")
     hit = F.filter(F.sequence(F.lit(1), F.size("doc_ids")), lambda i: F.element_at("doc_ids", i) == doc_id)
     frame = F.expr("substring(frames, CAST(offsets[at - 1] + 1 AS INT), CAST(offsets[at] - offsets[at - 1] AS INT))")
     rows = found.withColumn("at", F.explode(hit)).select("dictionary", frame.alias("frame")).collect()

@@ -1,17 +1,25 @@
-"""Exact, cached encoding with the public BPE tokenizers.
-
-BPE never merges across a pre-token, and in both vocabularies a space that
-stands before a non-space character always begins a new pre-token.  A text can
-therefore be cut there, each piece encoded once and the ids looked up again
-for every later use.  A new piece is put together from its pre-tokens, which
-recur more.  Ids are kept as little-endian 32-bit bytes, so
-that a whole document is one ``bytes.join``.
+"""Exact encoding with the public BPE tokenizers, equal to the tokenizers library id by id.
+
+A byte-level vocabulary is its merges' ranks: they are read from the tokenizer
+file and merged by tiktoken, which holds no cache, so a worker's memory does
+not grow with the words it meets.  The word vocabulary has a normaliser of its
+own; there BPE never merges across a pre-token, and a space before a non-space
+character always begins a new one, so a text is cut there, each piece encoded
+once and the ids looked up again for every later use.  A new piece is put
+together from its pre-tokens, which recur more.  Ids are little-endian 32-bit
+bytes (the byte order of every machine that Spark runs on here), so that a whole document is one ``bytes.join``.
+
+Special tokens that stand in a text are encoded as the library does by default
+(one id each) if ``special`` is set, as in the queries; else they are ordinary
+text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -59,22 +67,42 @@ class Generations:
         return [k for k in absent if k not in old]
 
 
+def merge_ranks(tokenizer) -> dict[bytes, int] | None:
+    """Ranks of a byte-level vocabulary whose ids stand in the order of its merges; None for any other."""
+    state = json.loads(tokenizer.to_str())
+    model, split = state["model"], state.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+    if state.get("normalizer") or not plain or model.get("unk_token") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+        return None
+    own = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+    if any(model["vocab"].get(m.replace(" ", "")) != 256 + i for i, m in enumerate(own)):
+        return None
+    back = {c: b for b, c in _BYTE_CHARS.items()}
+    return {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if i < 256 + len(own)}
+
+
 class PieceEncoder:
     """Encodes texts to id bytes.
 
-    ``spaced``: the vocabulary keeps white space, so a piece carries the space before it.
-    ``pieces`` and ``tokens`` bound the entries of each generation of the two caches.
+    ``spaced``: the vocabulary keeps white space.  ``pieces`` and ``tokens``
+    bound the entries of each generation of the word vocabulary's two caches.
     """
 
-    def __init__(self, file: str, spaced: bool, pieces: int = 400_000, tokens: int = 500_000):
+    def __init__(self, file: str, spaced: bool, pieces: int = 400_000, tokens: int = 500_000, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        own = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = re.compile("|".join(map(re.escape, own))).search if special and own else None
+        self.merged = None
+        if spaced and (ranks := merge_ranks(self.tokenizer)):
+            import tiktoken
+
+            self.merged = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.spaced = spaced
-        self.lead = " " if spaced else ""
-        self.cut = regex.compile(BYTE_PATTERN if spaced else WORD_PATTERN).findall
+        self.cut = regex.compile(WORD_PATTERN).findall
         self.pieces, self.tokens = Generations(pieces), Generations(tokens)
         self.tokenize = self.tokenizer.model.tokenize
 
@@ -88,20 +116,28 @@ class PieceEncoder:
         return [np.array([x.id for x in tokenize(t.encode().decode("latin-1").translate(table))], "<u4").tobytes() for t in tokens]
 
     def _learn(self, missing: list[str]) -> None:
-        lead = self.lead
         latin = [w for w in missing if w.isascii() or max(w) <= "\xff"]
         cut = self.cut
-        parts = [cut(lead + w) for w in latin] if self.spaced else [cut(w.lower()) for w in latin]
+        parts = [cut(w.lower()) for w in latin]
         new = self.tokens.missing({t for p in parts for t in p})
         held = self.tokens.new
         held.update(zip(new, self._many(new), strict=True))
         self.pieces.new.update((w, b"".join([held[t] for t in p])) for w, p in zip(latin, parts, strict=True))
         rest = [w for w in missing if w not in self.pieces.new]
         if rest:
-            self.pieces.new.update(zip(rest, self._whole([lead + w for w in rest]), strict=True))
+            self.pieces.new.update(zip(rest, self._whole(rest), strict=True))
 
     def encode(self, texts: list[str], group: int = 1_500_000) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        marked = [i for i, x in enumerate(texts) if self.marks(x)] if self.marks else []
+        if marked:  # rare: the library itself cuts at special tokens
+            whole = dict(zip(marked, self._whole([texts[i] for i in marked]), strict=True))
+            rest = iter(self.encode([x for i, x in enumerate(texts) if i not in whole], group))
+            return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
+        if self.merged:
+            return [array("I", self.merged(x)).tobytes() for x in texts]
+        if self.spaced:
+            return self._whole(texts)
         out: list[bytes] = []
         start = size = 0
         for i, text in enumerate(texts):
@@ -113,11 +149,6 @@ class PieceEncoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         split = [_SPACE_BEFORE_WORD.split(x) if _ODD_SPACE.search(x) else x.split(" ") for x in texts]
-        heads = []
-        if self.spaced:  # no space stands before a text's first piece
-            heads = self._whole([words[0] for words in split])
-            for words in split:
-                del words[0]
         get = self.pieces.new.get
         found = [list(map(get, words)) for words in split]
         holes = [(words, own, [i for i, x in enumerate(own) if x is None]) for words, own in zip(split, found, strict=True) if None in own]
@@ -129,15 +160,14 @@ class PieceEncoder:
             for words, own, at in holes:
                 for i in at:
                     own[i] = held[words[i]]
-        out = list(map(b"".join, found))
-        return [h + x for h, x in zip(heads, out, strict=True)] if self.spaced else out
+        return list(map(b"".join, found))
 
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 def encoder(file: str, spaced: bool) -> PieceEncoder:
-    """One encoder for each file in a Python worker."""
+    """One encoder for each file in a Python worker; special tokens in a text are those of the vocabulary."""
     if (file, spaced) not in _ENCODERS:
-        _ENCODERS[file, spaced] = PieceEncoder(file, spaced)
+        _ENCODERS[file, spaced] = PieceEncoder(file, spaced, special=True)
     return _ENCODERS[file, spaced]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bourseline.llm import decontaminate, graph, html_text, langid, lines, media, near_dup, packing, pii, queries, substrings, token_store
-from bourseline.llm.tokens import PieceEncoder, public_path
+from bourseline.llm.tokens import PieceEncoder, encoder, public_path
 
 SMALL = "/root/testdata/sf0.001"
 LONG = "thdore annt " * 30_000
@@ -470,3 +470,11 @@ def test_language_sample_is_taken_in_parts(spark):
     got = found.collect()
     assert {lang: sorted((r["order"], r["doc_id"]) for r in got if r["lang"] == lang) for lang in want} == want
     assert "salt" in found.columns
+
+
+@pytest.mark.parametrize(("file", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoding_of_the_queries_is_the_librarys_own(texts, file, spaced):
+    own = [*list(texts.values())[60:120], "", "hi <|endoftext|> x", "<|startoftext|>A<|endoftext|>", "<|endoftext|>", "a <|endoftex t|>", "\r\n\t x y", "１２ ½ ǅ", "x" * 5000, " " * 3000 + "y", "á ퟿"]
+    whole = Tokenizer.from_file(public_path(file))
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder(public_path(file), spaced).encode(own)]
+    assert got == [x.ids for x in whole.encode_batch(own, add_special_tokens=False)]
