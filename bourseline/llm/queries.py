@@ -35,7 +35,7 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = lines.without_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = lines.without_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return cut.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), F.col("kept_sha256_").alias("kept_sha256"))
 
 

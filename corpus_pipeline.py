@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their text without lines that repeat an earlier one; n_chars follows the text."""
-    cut = lines.without_repeats(docs)
+    cut = lines.without_repeats(docs, short=True)
     changed = F.col("n_removed_") > 0
     return cut.select(*[F.when(changed, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 

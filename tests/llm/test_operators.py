@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bourseline.llm import decontaminate, graph, html_text, langid, lines, media, near_dup, packing, pii, queries, substrings, token_store
+from bourseline.llm import alignment, decontaminate, graph, html_text, langid, lines, media, near_dup, packing, pii, queries, substrings, token_store
 from bourseline.llm.tokens import PieceEncoder, encoder, public_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -478,3 +478,48 @@ def test_encoding_of_the_queries_is_the_librarys_own(texts, file, spaced):
     whole = Tokenizer.from_file(public_path(file))
     got = [np.frombuffer(x, "<u4").tolist() for x in encoder(public_path(file), spaced).encode(own)]
     assert got == [x.ids for x in whole.encode_batch(own, add_special_tokens=False)]
+
+
+def test_similar_lines_of_the_small_table_are_found(spark, docs, texts):
+    """Every pair of distinct lines with edit similarity 0.85, by comparing all pairs: nine in ten end in one group."""
+    forms = sorted({f for t in texts.values() for x in t.split("\n") if len((f := lines.normalised(x)).split()) >= 3}, key=len)
+    counts = np.array([np.bincount([ord(c) % 300 for c in f], minlength=300) for f in forms])
+    sizes = np.array([len(f) for f in forms])
+    want = []
+    for i, f in enumerate(forms):
+        ahead = i + 1 + np.flatnonzero(sizes[i + 1 :] - sizes[i] <= 0.15 * sizes[i + 1 :])
+        less = counts[ahead] - counts[i]
+        near = np.maximum(np.maximum(less, 0).sum(axis=1), np.maximum(-less, 0).sum(axis=1)) <= 0.15 * sizes[ahead]
+        want += [(f, forms[j]) for j in ahead[near].tolist() if lines.edits(f, forms[j]) <= int(0.15 * sizes[j])]
+    assert len(want) > 30
+    gone = lines.repeated_lines(docs.select("doc_id", "text")).collect()
+    removed = {(r["doc_id"], i) for r in gone for i in r["lines"]}
+    places = {}
+    for d, t in texts.items():
+        for i, x in enumerate(t.split("\n")):
+            places.setdefault(lines.normalised(x), []).append((d, i))
+    # of two similar lines at most one form still has an occurrence, unless a third form was the first of both
+    found = sum(any(all(p in removed for p in places[f]) for f in pair) for pair in want)
+    assert found >= 0.9 * len(want)
+
+
+def test_short_lines_that_repeat_go_on_request(spark):
+    rows = [(1, "And.\nsome other words here"), (2, "and\n\nnew words stand here")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t_", F.lit(1)).withColumn("doc_id_", F.lit(2)).withColumn("n_removed_", F.lit(9)).withColumn("lines", F.lit("x"))
+    got = {r["doc_id"]: r for r in lines.without_repeats(frame, short=True).collect()}
+    assert got[2]["text"] == "\nnew words stand here"
+    assert got[1]["text"] == rows[0][1]
+    assert (got[2]["n_removed_"], got[2]["t_"], got[2]["doc_id_"], got[2]["lines"]) == (1, 1, 2, "x")
+    assert {r["n_removed_"] for r in lines.without_repeats(frame).collect()} == {0}
+
+
+def test_bounded_alignment():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a, b = ([int(x) for x in rng.integers(0, 4, rng.integers(0, 40))] for _ in range(2))
+        d = plain_edits(a, b)
+        assert alignment.by_bits(a, b) == d
+        for limit in (0, 3, 10, 30):
+            assert alignment.edits_within(a, b, limit) == (d if d <= limit else None)
+            x, y = (" ".join("abcd"[i] for i in w) for w in (a, b))
+            assert alignment.texts_within(x, y, limit) == (plain_edits(x, y) <= limit)
