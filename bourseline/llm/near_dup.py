@@ -4,19 +4,20 @@ A document's words (lower case, split at white space) give k-mers of five
 words, each labelled with its occurrence number.  For each of ``slots`` hash
 functions the ``kept`` smallest labelled k-mers are taken and put in their text
 order; the hash of that sequence is one signature.  Documents that share a
-signature are candidates.
+signature, and whose lengths allow the similarity, are candidates.  A candidate
+pair is a link if the edit similarity of its words reaches ``similarity``: an
+alignment banded to the edits that this allows decides.  Classes are the
+connected components of the links.
 
 Equal texts are one class from the start and only the least doc_id stands for
-them.  The members of a signature's group are compared to one leader, not to
-each other; slots choose leaders by ``orders`` different random orders, so the
-comparisons grow with the members and not with their square.  Members that are
-not yet in their leader's component form smaller groups for the next round.
-Documents that are still open after ``rounds`` rounds get finer signatures
-(``fine_slots`` of ``fine_kept`` k-mers), on which only closely similar texts
-meet, and are compared to the leaders of those groups.  A pair is verified by
-the Jaccard similarity of its k-mers and by the edit similarity of an alignment
-banded to the edits that ``similarity`` allows.  Classes are the connected
-components of the verified links.
+them.  In every signature's group leaders are compared to the members outside
+their component, then leave the group; groups that are one component are done.
+The others go on with more leaders, until every candidate pair is verified or
+connected, so comparisons grow with the members and the components and not with
+the square of a group of copies.  A group of more than ``crowd`` components
+after three rounds is a passage that otherwise different texts share: its
+k-mers are left out, and the documents of such groups are sketched again
+without them, for as long as there are such groups.
 
 Null text is empty; empty texts are one class.  A text of fewer than five
 words is one k-mer.  A null doc_id forms no class: its row has class_id null.
@@ -34,11 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .alignment import edits_within
 from .common import stored, text_or_empty, texts_of
 from .graph import components
 
 WORDS = 5
 SIMILARITY = 0.8
+#: Crowded signatures whose k-mers are left out at one time, the largest first; other groups go on with more leaders.
+CROWDED = 50_000
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -88,81 +92,73 @@ def labelled(keys: np.ndarray) -> np.ndarray:
     return mixed(keys + number * np.uint64(0xD6E8FEB86659FD93))
 
 
-def signatures(hashes: np.ndarray, slots: int, kept: int) -> np.ndarray:
-    keys = labelled(kmers(hashes))
-    out = np.empty(slots, np.uint64)
+def signatures(keys: np.ndarray, slots: int, kept: int) -> tuple[np.ndarray, np.ndarray]:
+    """One signature for each slot, and the places of its k-mers: the ``kept`` least by the slot's order, as they stand in the text."""
+    out, places = np.empty(slots, np.uint64), np.empty((slots, min(kept, len(keys))), np.int64)
     for first in range(0, slots, step := max(1, 400_000 // len(keys))):
-        salts = mixed(np.arange(first + 1, min(slots, first + step) + 1, dtype=np.uint64))[:, None]
-        ranks = mixed(keys[None, :] ^ salts)
-        if len(keys) > kept:
-            at = np.sort(np.argpartition(ranks, kept - 1, axis=1)[:, :kept], axis=1)
-        else:
-            at = np.broadcast_to(np.arange(len(keys)), ranks.shape)
-        h = salts[:, 0].copy()
+        salts = mixed(np.arange(first + 1, min(slots, first + step) + 1, dtype=np.uint64))
+        ranks = keys[None, :] * (salts | np.uint64(1))[:, None]
+        rows = np.arange(len(salts))
+        for j in range(places.shape[1]):
+            at = ranks.argmin(axis=1)
+            places[first : first + len(salts), j] = at
+            ranks[rows, at] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        at = np.sort(places[first : first + len(salts)], axis=1)
+        h = salts
         for j in range(at.shape[1]):
             h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + keys[at[:, j]])
         out[first : first + len(h)] = h
-    return out
+    return out, places
 
 
-def _sketch(slots: int, kept: int):
+def _without(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
+    return keys[~np.isin(keys, common)] if len(common) else keys
+
+
+def _sketch(slots: int, kept: int, common: np.ndarray):
+    """The signatures of each text without the common k-mers; a text of common k-mers alone has none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            found = [signatures(words.of(x.lower().split()), slots, kept) for x in batch.column("text").to_pylist()]
-            flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * slots), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("a"), batch.column("b"), lists], names=["doc_id", "a", "b", "sigs"])
+            found, sizes = [np.empty(0, np.uint64)], []
+            for text in batch.column("text").to_pylist():
+                own = words.of(text.lower().split())
+                sizes.append(len(own))
+                keys = _without(labelled(kmers(own)), common)
+                found.append(signatures(keys, slots, kept)[0] if len(keys) else keys)
+            ends = np.cumsum([len(x) for x in found]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("a"), batch.column("b"), pa.array(sizes, pa.int64()), lists], names=["doc_id", "a", "b", "words", "sigs"])
 
     return run
 
 
-def banded_edits(a: list, b: list, limit: int) -> int | None:
-    """Edit distance of two sequences, None if it is over ``limit``: only diagonals within the limit are followed."""
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-        for n in range(1, min(len(a), len(b)) + 1):
-            if a[-n] != b[-n]:
-                a, b = a[: len(a) - n + 1], b[: len(b) - n + 1]
-                break
-        else:
-            n = min(len(a), len(b))
-            a, b = a[: len(a) - n], b[: len(b) - n]
-    m, n = len(a), len(b)
-    if abs(m - n) > limit:
-        return None
-    far: dict[int, int] = {}
-    for e in range(limit + 1):
-        now = {}
-        for k in range(-e, e + 1):
-            if e == 0:
-                i = 0
-            else:
-                i = max(far.get(k, -2) + 1, far.get(k - 1, -2) if k - 1 in far else -2, far[k + 1] + 1 if k + 1 in far else -2)
-            i = min(i, m, n - k)
-            if i < 0 or i + k < 0:
-                continue
-            while i < m and i + k < n and a[i] == b[i + k]:
-                i += 1
-            now[k] = i
-        far = now
-        if far.get(n - m, -1) >= m:
-            return e
-    return None
+def _kmers_of(slots: int, kept: int, common: np.ndarray, crowded: np.ndarray):
+    """The k-mers that make up crowded signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            found = [np.empty(0, np.uint64)]
+            for text in batch.column("text").to_pylist():
+                keys = _without(labelled(kmers(words.of(text.lower().split()))), common)
+                if len(keys):
+                    sigs, places = signatures(keys, slots, kept)
+                    found.append(keys[places[np.isin(sigs, crowded)].reshape(-1)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], names=["kmer"])
+
+    return run
 
 
 def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
-    """Whether two texts are near duplicates: k-mer Jaccard and edit similarity both reach ``similarity``."""
+    """Whether the edit similarity of two texts' words reaches ``similarity``."""
     x, y = a.lower().split(), b.lower().split()
-    if x == y:
-        return True
-    if min(len(x), len(y)) < WORDS:
-        return False
-    p, q = ({tuple(w[i : i + WORDS]) for i in range(len(w) - WORDS + 1)} for w in (x, y))
-    both = len(p & q)
-    if both < similarity * (len(p) + len(q) - both):
-        return False
-    return banded_edits(x, y, int((1 - similarity) * max(len(x), len(y)))) is not None
+    return edits_within(x, y, most_edits(max(len(x), len(y)), similarity)) is not None
+
+
+def most_edits(words: int, similarity: float) -> int:
+    return int((1 - similarity) * words + 1e-9)
 
 
 def _verify(similarity: float):
@@ -185,56 +181,78 @@ def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def _entries(sketch: DataFrame) -> DataFrame:
-    """sig, slot, id of every signature that two documents share."""
-    every = sketch.select(F.col("doc_id").alias("id"), F.posexplode("sigs").alias("slot", "sig")).distinct()
+    """sig, slot, id, words of every signature that two documents share."""
+    every = sketch.select(F.col("doc_id").alias("id"), "words", F.posexplode("sigs").alias("slot", "sig")).dropDuplicates(["id", "sig"])
     shared = every.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig")
-    return stored(every.join(shared, "sig"), "entries")
-
-
-def _led(entries: DataFrame, orders: int, number: int) -> tuple[DataFrame, DataFrame]:
-    """The leader of every signature's group, and each member's pair with it."""
-    rank = F.xxhash64(F.col("slot") % orders, F.lit(number), "id")
-    leaders = entries.groupBy("sig").agg(F.min_by("id", rank).alias("low"))
-    met = entries.join(leaders, "sig").filter("id <> low")
-    return leaders, met.select(F.least("low", "id").alias("u"), F.greatest("low", "id").alias("v")).distinct()
-
-
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, slots: int = 24, kept: int = 3, rounds: int = 3, orders: int = 6, fine_slots: int = 256, fine_kept: int = 16) -> DataFrame:
+    return stored(every.join(shared, "sig").select("sig", "slot", "id", "words"), "entries")
+
+
+class _Links:
+    """Verified links so far, as the component of every document that has one."""
+
+    def __init__(self, texts: DataFrame, similarity: float):
+        self.texts, self.similarity = texts, similarity
+        self.done: DataFrame | None = None
+        self.labels = components(texts.sparkSession.createDataFrame([], "u long, v long"))
+
+    def label(self, entries: DataFrame) -> DataFrame:
+        named = self.labels.withColumnRenamed("v", "id")
+        return entries.drop("label").join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    def lead(self, entries: DataFrame, leaders: int) -> DataFrame:
+        """Compare up to so many leaders of each group to the members outside their component; the entries that stay open."""
+        order = F.xxhash64("id")
+        chosen = entries.groupBy("sig", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(leaders)).alias("part")).agg(F.min_by(F.struct("id", "words", "label"), F.struct(order, "id")).alias("lead"))
+        chosen = stored(chosen.select("sig", F.col("lead.id").alias("lead"), F.col("lead.words").alias("lead_words"), F.col("lead.label").alias("lead_label")), "leaders")
+        longer = F.greatest("words", "lead_words")
+        fits = longer - F.least("words", "lead_words") <= F.floor((1 - self.similarity) * longer + 1e-9)
+        pairs = entries.join(chosen, "sig").filter("label <> lead_label").filter(fits).select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct()
+        pairs = stored(pairs if self.done is None else pairs.join(self.done, ["u", "v"], "left_anti"), "pairs")
+        self.done = pairs if self.done is None else self.done.unionByName(pairs)
+        found = stored(_links(pairs, self.texts, self.similarity), "links")
+        self.labels = components(self.labels.select(F.col("label").alias("u"), "v").unionByName(found))
+        left = self.label(entries.join(chosen.select("sig", F.col("lead").alias("id")), ["sig", "id"], "left_anti"))
+        return stored(self.open(left), "open")
+
+    def open(self, entries: DataFrame) -> DataFrame:
+        parted = entries.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
+        return entries.join(parted, "sig", "left_semi").select("sig", "slot", "id", "words", "label")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, slots: int = 48, kept: int = 2, crowd: int = 64) -> DataFrame:
     """doc_id, class_id, copies of every document: the least doc_id of its class, and its exact copies with itself."""
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     keyed = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
-    schema = "doc_id long, a long, b long, sigs array<long>"
-    sketch = stored(keyed.mapInArrow(_sketch(slots, kept), schema), "sketch")
+    schema = "doc_id long, a long, b long, words long, sigs array<long>"
+    common = np.empty(0, np.uint64)
+    sketch = stored(keyed.mapInArrow(_sketch(slots, kept, common), schema), "sketch")
     exact = stored(sketch.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "exact")
     # a doc_id that stands for two texts is one vertex; its rows' texts are all compared
-    reps = sketch.join(exact, ["a", "b"]).filter("doc_id = rep").select("doc_id", "sigs")
-    entries = _entries(reps)
-    done = links = None
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        nonlocal done, links
-        pairs = stored(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
-        found = stored(_links(pairs, keyed, similarity), "links")
-        links = found if links is None else links.unionByName(found)
-        return components(links)
-
-    for number in range(rounds):
-        leaders, pairs = _led(entries, orders, number)
-        labels = verified(pairs)
-        # members whose component is not their leader's go on among themselves
-        named = entries.select("sig", "slot", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").select("sig", "slot", "id", F.coalesce("label", "id").alias("label"))
-        lead = leaders.join(labels.select(F.col("v").alias("low"), "label"), "low", "left").select("sig", F.coalesce("label", "low").alias("lead"))
-        open_ = stored(named.join(lead, "sig").filter("label <> lead").select("sig", "slot", "id", "label"), "open")
-        again = open_.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
-        entries = stored(open_.join(again, "sig"), "entries")
+    entries = _entries(sketch.join(exact, ["a", "b"]).filter("doc_id = rep"))
+    found = _Links(keyed, similarity)
+    while not entries.isEmpty():
+        # a few slots connect most of a group of copies
+        found.lead(found.label(entries.filter(F.col("slot") < slots // 6)), 1)
+        entries = found.lead(stored(found.open(found.label(entries)), "open"), 1)
         if entries.isEmpty():
             break
-    else:
-        open_ids = stored(entries.select(F.col("id").alias("doc_id")).distinct(), "open")
-        fine = texts_of(keyed, open_ids).mapInArrow(_sketch(fine_slots, fine_kept), schema).select("doc_id", "sigs")
-        labels = verified(_led(_entries(fine), orders, rounds)[1])
-    label = labels.select(F.col("v").alias("rep"), "label")
+        entries = found.lead(entries, 4)
+        sizes = entries.groupBy("sig").agg(F.countDistinct("label").alias("n")).filter(F.col("n") > crowd)
+        crowded = stored(sizes.orderBy(F.desc("n"), "sig").limit(CROWDED).select("sig"), "crowded")
+        leaders = 16
+        rest = stored(entries.join(crowded, "sig", "left_anti"), "rest")
+        while not rest.isEmpty():
+            rest = found.lead(rest, leaders)
+            leaders *= 4
+        ids = stored(entries.join(crowded, "sig", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "ids")
+        if ids.isEmpty():
+            break
+        again = stored(texts_of(keyed, ids), "again")
+        hot = np.sort(np.array([r["sig"] for r in crowded.toLocalIterator()], np.int64).view(np.uint64))
+        more = again.mapInArrow(_kmers_of(slots, kept, common, hot), "kmer long").distinct()
+        common = np.union1d(common, np.array([r["kmer"] for r in more.toLocalIterator()], np.int64).view(np.uint64))
+        entries = _entries(again.mapInArrow(_sketch(slots, kept, common), schema))
+    label = found.labels.select(F.col("v").alias("rep"), "label")
     classes = exact.join(label, "rep", "left").select("a", "b", F.coalesce("label", "rep").alias("class_id"), "copies")
     ids = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
     named = ids.filter("doc_id IS NOT NULL").join(classes, ["a", "b"]).select("doc_id", "class_id", "copies")
