@@ -17,10 +17,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is absent (local tests) a temporary folder takes its place.
+    Where the setting is absent, a local session (tests) takes a temporary
+    folder; on a cluster that would be a different disk for each executor, so
+    it is an error there.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="bourseline-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir
@@ -38,7 +42,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for frame in frames:
+        if path := getattr(frame, "stored_at", None):
+            spark = frame.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            frame.stored_at = None
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,6 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
             labels = parent.select(F.col("u").alias("v"), F.col("p").alias("label"))
         else:
             labels = stored(labels.join(parent.select(F.col("u").alias("label"), "p"), "label", "left").select("v", F.coalesce("p", "label").alias("label")), "labels")
+        last = left
         ends = left.join(parent.select("u", F.col("p").alias("a")), "u").join(parent.select(F.col("u").alias("v"), F.col("p").alias("b")), "v")
         left = stored(ends.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        discard(last)
     return left.select("v", F.col("u").alias("label")) if labels is None else labels

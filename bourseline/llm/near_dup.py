@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .alignment import edits_within
-from .common import stored, text_or_empty, texts_of
+from .common import discard, stored, text_or_empty, texts_of
 from .graph import components
 
 WORDS = 5
@@ -173,11 +173,13 @@ def _verify(similarity: float):
 
 
 def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) that are near duplicates."""
+    """Those of the pairs (u, v) that are near duplicates, as a stored table."""
     ids = stored(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids")
     own = stored(texts_of(texts, ids), "texts")
     sides = pairs.join(own.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u").join(own.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-    return sides.select("u", "v", "text_u", "text_v").mapInArrow(_verify(similarity), "u long, v long")
+    found = stored(sides.select("u", "v", "text_u", "text_v").mapInArrow(_verify(similarity), "u long, v long"), "links")
+    discard(ids, own)
+    return found
 
 
 def _entries(sketch: DataFrame) -> DataFrame:
@@ -209,7 +211,7 @@ class _Links:
         pairs = entries.join(chosen, "sig").filter("label <> lead_label").filter(fits).select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct()
         pairs = stored(pairs if self.done is None else pairs.join(self.done, ["u", "v"], "left_anti"), "pairs")
         self.done = pairs if self.done is None else self.done.unionByName(pairs)
-        found = stored(_links(pairs, self.texts, self.similarity), "links")
+        found = _links(pairs, self.texts, self.similarity)
         self.labels = components(self.labels.select(F.col("label").alias("u"), "v").unionByName(found))
         left = self.label(entries.join(chosen.select("sig", F.col("lead").alias("id")), ["sig", "id"], "left_anti"))
         return stored(self.open(left), "open")

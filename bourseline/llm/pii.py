@@ -210,8 +210,8 @@ def _candidates(rows: DataFrame) -> DataFrame:
     return rows.select("key", "c.*", F.expr("substring(body, greatest(1, c.start - 23), least(24, c.start))").alias("before"), F.expr("substring(body, c.end + 1, 8)").alias("after"))
 
 
-def find(docs: DataFrame, model: GBTClassificationModel, limits: dict[str, float]) -> DataFrame:
-    """doc_id, base and added spans (arrays of start, rank, end, kind) of every document."""
+def _found(docs: DataFrame, model: GBTClassificationModel, limits: dict[str, float]) -> DataFrame:
+    """doc_id, body, base and added spans of every row; rows of one doc_id are told apart by their texts."""
     body = clean(F.col("text"))
     rows = docs.select("doc_id", F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b")).alias("key"), body.alias("body")).withColumn("base", base_spans(F.col("body")))
     scored = _scored(model, VectorAssembler(inputCols=list(_FEATURES), outputCol="features").transform(with_features(_candidates(rows))))
@@ -226,13 +226,20 @@ def find(docs: DataFrame, model: GBTClassificationModel, limits: dict[str, float
         return F.when(taken, state).otherwise(F.concat(state, F.array(F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind")))))
 
     added = picked.select("key", F.aggregate("ranked", F.array().cast(kept_kind), step).alias("added"))
-    return rows.select("doc_id", "key", "base").join(added, "key", "left").select("doc_id", "base", F.coalesce("added", F.array().cast(kept_kind)).alias("added"))
+    return rows.join(added, "key", "left").select("doc_id", "body", "base", F.coalesce("added", F.array().cast(kept_kind)).alias("added"))
+
+
+def find(docs: DataFrame, model: GBTClassificationModel, limits: dict[str, float]) -> DataFrame:
+    """doc_id, base and added spans (arrays of start, rank, end, kind) of every document."""
+    return _found(docs, model, limits).select("doc_id", "base", "added")
 
 
 def redact(docs: DataFrame, model: GBTClassificationModel, limits: dict[str, float]) -> DataFrame:
-    """doc_id, text with every span replaced by its kind in brackets; of overlapping spans the first one counts."""
-    spans = find(docs, model, limits).withColumn("spans", F.array_sort(F.concat("base", "added"))).groupBy("doc_id").agg(F.first("spans").alias("spans"))
-    body = clean(F.col("text"))
+    """doc_id, text with every span replaced by its kind in brackets; of overlapping spans the first one counts.
+
+    Every row is redacted by the spans of its own text, whatever its doc_id.
+    """
+    rows = _found(docs, model, limits).withColumn("spans", F.array_sort(F.concat("base", "added")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
@@ -240,7 +247,7 @@ def redact(docs: DataFrame, model: GBTClassificationModel, limits: dict[str, flo
         return F.when(s["start"] < state["at"], state).otherwise(F.struct(s["end"].alias("at"), F.concat(state["out"], lead, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")))
 
     end = F.aggregate("spans", start, step, lambda state: F.concat(state["out"], F.substring(F.col("body"), state["at"] + 1, F.length("body"))))
-    return docs.select("doc_id", body.alias("body")).join(spans, "doc_id").select("doc_id", end.alias("text"))
+    return rows.select("doc_id", end.alias("text"))
 
 
 def digest(spans: DataFrame) -> DataFrame:

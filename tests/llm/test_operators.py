@@ -542,3 +542,10 @@ def test_a_passage_that_many_share_does_not_hide_copies(spark):
     got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(frame, similarity=0.9, crowd=8).collect()}
     assert all(got[2 * i + 1] == 2 * i for i in range(20))
     assert len(set(got.values())) == 150
+
+
+def test_redaction_is_by_row(spark):
+    model, limits = pii.train(spark, rows=500)
+    rows = [(1, "nothing at all here"), (1, "mail a.b@c.de now"), (None, "x@y.zz tail")]
+    got = sorted(r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string"), model, limits).collect())
+    assert got == ["[EMAIL] tail", "mail [EMAIL] now", "nothing at all here"]

@@ -36,3 +36,19 @@ def test_stages(spark):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_stages_keep_odd_rows_and_columns(spark):
+    text = "The quick brown fox that was in the house and then jumped over the lazy dog of the town. " * 3
+    schema = "doc_id long, text string, lang string, n_chars int, score double, lang_pred string, t_ int, lines int, words int, id int"
+    rows = [(1, text, "en", 270, 7.0, "zz", 1, 2, 3, 4), (1, text, "en", 270, 7.0, "zz", 1, 2, 3, 4), (1, "a wholly other text of the same number that says nothing more than this", "en", 70, None, None, None, None, None, None), (2, text + " end", "en", 274, None, "q", 1, 2, 3, 4), (None, "no number here but a text", "en", 25, None, None, 1, 1, 1, 1), (3, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        assert [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        own = {(r["doc_id"], r["score"], r["lang_pred"]) for r in out.collect()}
+        assert own <= {(r[0], r[4], r[5]) for r in rows}, name
+        assert stage(spark, docs.filter("false"), "/root/testdata/sf0.001").count() == 0, name
+    near = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r["text"][:8] if r["text"] else "" for r in near) == ["", "The quic", "a wholly", "no numbe"]
