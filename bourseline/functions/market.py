@@ -15,10 +15,13 @@ def second_of_day(at: Column) -> Column:
     return F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
 
 
+def after_close(at: Column) -> Column:
+    return (second_of_day(at) > CLOSE_SECOND) | ((second_of_day(at) == CLOSE_SECOND) & (F.date_trunc("second", at) < at))
+
+
 def prediction_cutoff(at: Column) -> Column:
     """The last date whose close may be known when the item appears; strictly after 15:30:00 it is the same day."""
-    after = (second_of_day(at) > CLOSE_SECOND) | ((second_of_day(at) == CLOSE_SECOND) & (F.date_trunc("second", at) < at))
-    return F.when(after, at.cast("date")).otherwise(F.date_sub(at.cast("date"), 1))
+    return F.when(after_close(at), at.cast("date")).otherwise(F.date_sub(at.cast("date"), 1))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -41,8 +44,8 @@ def exchanges(tag: Column) -> Column:
 
 
 def session_phase(at: Column) -> tuple[Column, Column]:
-    """Whether a time is before 09:15 and whether it is after 15:30."""
-    return second_of_day(at) < 9 * 3600 + 15 * 60, second_of_day(at) > CLOSE_SECOND
+    """Whether a time is before 09:15 and whether it is after 15:30, fractions of a second included."""
+    return second_of_day(at) < 9 * 3600 + 15 * 60, after_close(at)
 
 
 def action_type(subject: Column) -> Column:

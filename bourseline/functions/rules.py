@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +43,46 @@ def normalized_level(text: Column) -> Column:
 def outcome_label(predicted: Column, actual: Column) -> Column:
     """CORRECT or DIFFERENT once the actual direction is known, else PENDING."""
     return F.when(actual.isNull(), "PENDING").when(predicted == actual, "CORRECT").otherwise("DIFFERENT")
+
+
+#: Names whose asset class is known (fixed values).
+KNOWN_ASSETS = {"360 ONE ASSET MANAGEMENT LIMITED": "MUTUAL_FUND", "WATERMARKE ESTATES PVT LTD": "OTHER"}
+#: Words that tell an issuer, and words that tell an instrument (fixed values).
+ISSUER_WORDS = ("ASSET MANAGEMENT", "ASSET MANAGERS", "FUNDS MANAGEMENT", "INVESTMENT MANAGERS")
+INSTRUMENT_WORDS = ("FUND", "INTERVAL", "DIRECT", "REGULAR", "GROWTH", "DIVIDEND", "PAYOUT", "PLAN", "OPTION", "SERIES")
+
+
+def news_asset(name: Column, code: Column) -> Column:
+    """Asset class of a security that the master lacks: known names, codes from 9, ETF, bond, other."""
+    known = reduce(lambda c, x: c.when(name == x[0], x[1]), list(KNOWN_ASSETS.items())[1:], F.when(name == next(iter(KNOWN_ASSETS)), KNOWN_ASSETS[next(iter(KNOWN_ASSETS))]))
+    rest = F.when(F.startswith(F.coalesce(code, F.lit("")), F.lit("9")), "MUTUAL_FUND").when(F.contains(name, F.lit("ETF")), "ETF").when(F.contains(name, F.lit("BOND")), "BOND").otherwise("OTHER")
+    return F.coalesce(known, rest)
+
+
+def identity_type(symbol: Column, name: Column) -> Column:
+    """What an unresolved identity is: a symbol, an issuer, an instrument or a company."""
+    words = F.split(name, " ")
+    issuer = F.array_contains(words, "AMC") | reduce(lambda a, b: a | b, [F.contains(name, F.lit(w)) for w in ISSUER_WORDS])
+    instrument = F.arrays_overlap(words, F.array(*map(F.lit, INSTRUMENT_WORDS)))
+    return F.when(F.coalesce(symbol, F.lit("")) != "", "HISTORICAL_SYMBOL").when(issuer, "ISSUER_NAME").when(instrument, "SPECIFIC_INSTRUMENT").otherwise("COMPANY_NAME")
+
+
+def horizon_status(status: Column, predicted: Column, featured: Column, published: Column, history: Column) -> Column:
+    """Why an item has or lacks a prediction on one horizon; a null status is not NOT_MAPPED."""
+    return (
+        F.when(status != "MAPPED", "NOT_MAPPED").when(predicted, "AVAILABLE").when(featured, "NO_PREDICTION").when(published.isNull(), "NO_PUBLISHED_AT").when(history == 0, "NO_HISTORY").when(history < 20, "INSUFFICIENT_HISTORY").otherwise("NO_FEATURES")
+    )
+
+
+def valid_or(value: Column, allowed: tuple[str, ...], other: str) -> Column:
+    return F.when(value.isin(*allowed), value).otherwise(F.lit(other))
+
+
+def clamped_confidence(value: Column) -> Column:
+    """A confidence of 0 to 100; what is no number counts as 0."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(value.try_cast("double"), F.lit(0.0))))
+
+
+def first_facts(facts: Column, n: int = 10) -> Column:
+    """The first cleaned facts that are not empty."""
+    return F.slice(F.filter(F.transform(facts, lambda f: F.trim(F.regexp_replace(f, r"\s+", " "))), lambda f: f != ""), 1, n)

@@ -88,11 +88,20 @@ def news_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.join(last.select(F.col("user_id").alias("security_id"), F.col("event_type").alias("last_event")), "security_id", "left").select("news_id", "symbol", "n_actions", "last_event")
 
 
-@query(with_views("""SELECT security_id, trade_date, FLOOR(prior * 1e4 + 0.5) / 1e4 AS prior_volume FROM (SELECT security_id, trade_date, AVG(volume) OVER (PARTITION BY security_id ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS prior FROM bars) x""", BARS))
+@query(with_views("""SELECT security_id, trade_date, (SELECT FLOOR(AVG(v) * 1e4 + 0.5) / 1e4 FROM (SELECT UNNEST(LIST_SLICE(LIST_REVERSE(before), 1, 20)) AS v)) AS prior_volume FROM (
+ SELECT security_id, trade_date, LIST(CASE WHEN volume % 7 > 0 THEN volume END) FILTER (WHERE volume % 7 > 0) OVER (PARTITION BY security_id ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM bars) x""", BARS))
 def prior_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of the last twenty volumes strictly before each session."""
-    before = Window.partitionBy("security_id").orderBy("trade_date").rowsBetween(-20, -1)
-    return bars(spark, sf_dir).select("security_id", "trade_date", quantized(F.avg("volume").over(before)).alias("prior_volume"))
+    """Mean of the last twenty known volumes strictly before each session; a volume divisible by 7 stands for an unknown one."""
+    known = F.when(F.col("volume") % 7 > 0, F.col("volume"))
+    order = Window.partitionBy("security_id").orderBy("trade_date")
+    # running count and sum of known volumes; twenty of them back lie those with a count less by 20
+    rows = bars(spark, sf_dir).select("security_id", "trade_date", known.alias("known"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"n": F.count("known").over(before), "total": F.coalesce(F.sum("known").over(before), F.lit(0.0))})
+    counted = rows.filter("known IS NOT NULL").select("security_id", F.col("n").alias("back"), F.col("total").alias("earlier"))
+    rows = rows.withColumn("back", F.greatest(F.col("n") - 20, F.lit(0)))
+    joined = rows.join(counted, ["security_id", "back"], "left")
+    return joined.select("security_id", "trade_date", quantized((F.col("total") - F.coalesce("earlier", F.lit(0.0))) / F.nullif(F.least(F.col("n"), F.lit(20)), F.lit(0))).alias("prior_volume"))
 
 
 @query("""SELECT item_id, LEN(STRING_SPLIT(text, ' ')) AS n_words, SHA256(text) AS digest, UPPER(SUBSTRING(REGEXP_REPLACE(text, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 120)) AS safe_name FROM benchmark""")
