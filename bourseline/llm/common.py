@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,13 +49,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more."""
+    """Delete stored tables that nothing reads any more, and let Spark clean the shuffles of plans that are out of use."""
+    gc.collect()
     for frame in frames:
         if path := getattr(frame, "stored_at", None):
             spark = frame.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
             frame.stored_at = None
+            spark._jvm.System.gc()
 
 
 def text_or_empty(column: str = "text") -> Column:

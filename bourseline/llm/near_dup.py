@@ -214,7 +214,9 @@ class _Links:
         found = _links(pairs, self.texts, self.similarity)
         self.labels = components(self.labels.select(F.col("label").alias("u"), "v").unionByName(found))
         left = self.label(entries.join(chosen.select("sig", F.col("lead").alias("id")), ["sig", "id"], "left_anti"))
-        return stored(self.open(left), "open")
+        left = stored(self.open(left), "open")
+        discard(chosen)
+        return left
 
     def open(self, entries: DataFrame) -> DataFrame:
         parted = entries.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
@@ -234,17 +236,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, slots: int
     found = _Links(keyed, similarity)
     while not entries.isEmpty():
         # a few slots connect most of a group of copies
-        found.lead(found.label(entries.filter(F.col("slot") < slots // 6)), 1)
-        entries = found.lead(stored(found.open(found.label(entries)), "open"), 1)
+        discard(found.lead(found.label(entries.filter(F.col("slot") < slots // 6)), 1))
+        for leaders in (1, 4):
+            last, entries = entries, found.lead(stored(found.open(found.label(entries)), "open"), leaders)
+            discard(last)
         if entries.isEmpty():
             break
-        entries = found.lead(entries, 4)
         sizes = entries.groupBy("sig").agg(F.countDistinct("label").alias("n")).filter(F.col("n") > crowd)
         crowded = stored(sizes.orderBy(F.desc("n"), "sig").limit(CROWDED).select("sig"), "crowded")
         leaders = 16
         rest = stored(entries.join(crowded, "sig", "left_anti"), "rest")
         while not rest.isEmpty():
-            rest = found.lead(rest, leaders)
+            last, rest = rest, found.lead(rest, leaders)
+            discard(last)
             leaders *= 4
         ids = stored(entries.join(crowded, "sig", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "ids")
         if ids.isEmpty():
