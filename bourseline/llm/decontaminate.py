@@ -45,6 +45,8 @@ STEP = 8
 WINDOWS = (16, 32, 64)
 RUN = 4  # words in a row that a document and an item share are reason enough to verify
 _BLOCK = 2048
+SKETCH_WORDS = 20_000  # words that are multiplied at a time: their rows fit a processor's cache
+_SLICE = 32_768  # windows that are compared to the items at a time
 #: Bytes of lower-case UTF-8 that part words: all of ASCII but letters and digits.
 _APART = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -194,7 +196,7 @@ def latent_basis(ids: DataFrame, idf: np.ndarray, rank: int = 44, extra: int = 8
 
     def there_and_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((TERMS, width), np.float32)
-        for chunk in _chunks(batches):
+        for chunk in _chunks(batches, SKETCH_WORDS):
             terms, at, y = rows_of(chunk, first)
             if len(y):
                 order = np.argsort(terms, kind="stable")
@@ -211,7 +213,7 @@ def latent_basis(ids: DataFrame, idf: np.ndarray, rank: int = 44, extra: int = 8
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
-        for chunk in _chunks(batches):
+        for chunk in _chunks(batches, SKETCH_WORDS):
             y = rows_of(chunk, second)[2].astype(np.float64)
             total += y.T @ y
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["block", "data"])
@@ -355,14 +357,17 @@ def _search(items: Items, basis: np.ndarray, cosine: float, verbatim: float, loo
                 begin = np.maximum(stop - span, opening[here])
                 window = (total[stop] - total[begin]).astype(np.float32)
                 window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-12)
-                near = window @ items.vectors[sides[k]].T
-                at, item = np.nonzero(near >= cosine)
+                hits = []
+                for low in range(0, len(window), _SLICE):
+                    near = window[low : low + _SLICE] @ items.vectors[sides[k]].T
+                    i, j = np.nonzero(near >= cosine)
+                    hits.append((i + low, j, near[i, j]))
+                at, item, score = (np.concatenate(x) for x in zip(*hits, strict=True))
                 # no match without half of the answer words nearby: counted by blocks, and word by word in verify
                 reach = -(-np.array([len(items.words[j]) for j in sides[k]]) // (2 * STEP)) + 2
                 low, high = np.maximum(begin[at] - reach[item], opening[here[at]]), np.minimum(begin[at] + span + reach[item], last[here[at]])
                 likely = answers[high, sides[k][item]] - answers[low, sides[k][item]] >= items.needed[sides[k][item]]
-                at, item = at[likely], item[likely]
-                score = near[at, item]
+                at, item, score = at[likely], item[likely], score[likely]
                 for x in np.argsort(-score, kind="stable").tolist():
                     i, j = int(at[x]), int(sides[k][item[x]])
                     d = int(owner[here[i]])
