@@ -199,7 +199,7 @@ def latent_basis(ids: DataFrame, idf: np.ndarray, rank: int = 44, extra: int = 8
         for chunk in _chunks(batches, SKETCH_WORDS):
             terms, at, y = rows_of(chunk, first)
             if len(y):
-                order = np.argsort(terms, kind="stable")
+                order = np.argsort(terms.astype(np.uint16), kind="stable")  # TERMS fit 16 bits
                 own = terms[order]
                 begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 total[own[begin]] += np.add.reduceat(y[at[order]], begin, axis=0)
