@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date
+from functools import reduce
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -90,3 +92,101 @@ def ablation(rows: DataFrame, groups: dict[str, list[str]], label: str, train: C
         out = one if out is None else out.unionByName(one)
     base = out.filter(F.col("experiment") == next(iter(groups))).select(F.col("macro_f1").alias("base_"))
     return out.join(F.broadcast(base)).withColumn("delta", F.col("macro_f1") - F.col("base_")).drop("base_")
+
+
+#: The value that stands for a missing category (fixed value).
+MISSING = "__MISSING__"
+#: Parts of column names that tell the future of an item (fixed values).
+LEAKS = ("future", "next_", "label", "direction_", "return_1d", "return_3d", "return_5d", "return_10d", "outcome")
+
+
+def vocabulary(rows: DataFrame, column: str) -> list[str]:
+    """The categories of the whole table and the one for missing values, sorted; categories are few at any number of rows."""
+    found = rows.select(F.coalesce(column, F.lit(MISSING)).alias("v")).distinct().collect()
+    return sorted({r["v"] for r in found} | {MISSING})
+
+
+def coded(rows: DataFrame, column: str, words: list[str], code: str) -> DataFrame:
+    """The place of each row's category in the vocabulary; a category outside it raises when its row is computed."""
+    place = F.array_position(F.array(*map(F.lit, words)), F.coalesce(F.col(column), F.lit(MISSING)))
+    bad = F.raise_error(F.concat(F.lit(f"unseen value of {column}: "), F.col(column)))
+    return rows.withColumn(code, F.when(place > 0, (place - 1).cast("int")).otherwise(bad))
+
+
+def checked_features(features: list[str], allowed: tuple[str, ...] = ()) -> list[str]:
+    """The features if none of them tells the future; else ValueError."""
+    bad = [f for f in features if f not in allowed and any(part in f.lower() for part in LEAKS)]
+    if bad or len(set(features)) != len(features):
+        raise ValueError(f"features that leak or repeat: {bad or features}")
+    return features
+
+
+def chronological(rows: DataFrame, day: str, first_test: str) -> tuple[DataFrame, DataFrame]:
+    """Rows before the first day of the test, and those from it on; no day is in both by construction."""
+    cut = F.lit(first_test).cast("date")
+    return rows.filter(F.col(day) < cut), rows.filter(F.col(day) >= cut)
+
+
+def majority_metrics(train: DataFrame, test: DataFrame) -> DataFrame:
+    """accuracy, balanced_accuracy, macro_f1 on the test of always predicting the training rows' most frequent label."""
+    modal = train.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1).select(F.col("label").alias("predicted"))
+    return summary(confusion(test.join(F.broadcast(modal)).select("label", "predicted")))
+
+
+def fold_summary(metrics: DataFrame, columns: list[str]) -> DataFrame:
+    """metric, mean, std (sample), least, greatest over folds; one row for each metric."""
+    stats = metrics.agg(*[F.struct(F.lit(c).alias("metric"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("least"), F.max(c).alias("greatest")).alias(c) for c in columns])
+    return stats.select(F.explode(F.array(*columns)).alias("m")).select("m.*")
+
+
+def fit(rows: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 6) -> RandomForestClassificationModel:
+    """A forest of the three classes on labelled rows; missing features count as 0."""
+    index = F.array_position(F.array(*map(F.lit, CLASSES)), F.col(label)) - 1
+    ready = VectorAssembler(inputCols=checked_features(features), outputCol="features_").transform(rows.filter(F.col(label).isin(*CLASSES)).withColumn("y_", index.cast("double")).na.fill(0, features))
+    return RandomForestClassifier(featuresCol="features_", labelCol="y_", numTrees=trees, maxDepth=depth, seed=1).fit(ready)
+
+
+def importance(spark, model: RandomForestClassificationModel, features: list[str]) -> DataFrame:
+    """feature, importance from the greatest on."""
+    rows = list(zip(features, (float(x) for x in model.featureImportances.toArray()), strict=True))
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def save_model(spark, model: RandomForestClassificationModel, features: list[str], metrics: dict[str, float], path: str) -> None:
+    """Model, order of its features, metrics and importance under one path of a shared store."""
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(json.dumps(features), json.dumps(metrics))], "features string, metrics string").coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+    importance(spark, model, features).coalesce(1).write.mode("overwrite").csv(f"{path}/importance", header=True)
+
+
+def score_stored(spark, path: str, rows: DataFrame, key: str = "news_id") -> DataFrame:
+    """key, probabilities, direction and score by a stored model; the order of features is the model's, a missing one raises."""
+    features = json.loads(spark.read.schema("features string, metrics string").json(f"{path}/metrics").first()["features"])
+    if lost := [f for f in features if f not in rows.columns]:
+        raise ValueError(f"features are missing: {lost}")
+    model = RandomForestClassificationModel.load(f"{path}/model")
+    out = model.transform(VectorAssembler(inputCols=features, outputCol="features_").transform(rows.na.fill(0, features)))
+    each = vector_to_array("probability")
+    best = F.array_max(each)
+    return out.select(key, *[each[i].alias(f"p_{c.lower()}") for i, c in enumerate(CLASSES)], F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position(each, best).cast("int")).alias("direction"), best.alias("score"))
+
+
+def wanted(rows: DataFrame, done: DataFrame, mode: str, ids: DataFrame | None = None, key: str = "news_id") -> DataFrame:
+    """Rows to score: ``incremental`` those without a prediction, ``full`` all, ``ids`` exactly the listed ones (a missing one raises)."""
+    if mode == "full":
+        return rows
+    if mode == "incremental":
+        return rows.join(done.select(key).distinct(), key, "left_anti")
+    if mode != "ids" or ids is None:
+        raise ValueError(f"no such mode: {mode}")
+    if not ids.join(rows.select(key), key, "left_anti").isEmpty():
+        raise ValueError("an id that is to be scored has no features")
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def prediction_checks(rows: DataFrame, key: list[str], tolerance: float = 1e-5) -> DataFrame:
+    """One row: predictions, repeated keys, rows whose probabilities do not add up to 1, rows without a direction."""
+    total = reduce(lambda a, b: a + b, [F.col(f"p_{c.lower()}") for c in CLASSES])
+    per = rows.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(F.abs(total - 1) > tolerance).alias("off"), F.count_if(F.col("direction").isNull()).alias("open"))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return per.agg(whole("n").alias("predictions"), F.count_if(F.col("n") > 1).alias("repeated_keys"), whole("off").alias("bad_sums"), whole("open").alias("no_direction"))

@@ -46,7 +46,82 @@ def class_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.class_report(learning.confusion(table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), predicted.alias("predicted")))).select("label", "support", quantized(F.col("recall")).alias("recall"))
 
 
-@query()
+_METRICS = """m AS (SELECT label, SUM(n) AS support, SUM(n) FILTER (WHERE label = predicted) AS hits FROM c GROUP BY 1), r AS (SELECT m.label, support, COALESCE(hits, 0) / support AS recall,
+ COALESCE(COALESCE(hits, 0) / s.said, 0) AS precision FROM m LEFT JOIN (SELECT predicted, SUM(n) AS said FROM c GROUP BY 1) s ON s.predicted = m.label), f AS (SELECT *, CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0 END AS f1 FROM r)"""
+_COUNTS = """c AS (SELECT event_type AS label, CASE user_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE event_type END AS predicted, COUNT(*) AS n FROM events GROUP BY 1, 2)"""
+_ROUNDED = "FLOOR(SUM(recall * support) / SUM(support) * 1e4 + 0.5) / 1e4 AS accuracy, FLOOR(AVG(recall) * 1e4 + 0.5) / 1e4 AS balanced_accuracy, FLOOR(AVG(f1) * 1e4 + 0.5) / 1e4 AS macro_f1"
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    predicted = F.when(F.col("user_id") % 3 == 0, "click").when(F.col("user_id") % 3 == 1, "view").otherwise(F.col("event_type"))
+    return learning.confusion(table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), predicted.alias("predicted")))
+
+
+def _rounded(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*[quantized(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+@query(with_views("SELECT label, CAST(support AS BIGINT) AS support, FLOOR(recall * 1e4 + 0.5) / 1e4 AS recall, FLOOR(precision * 1e4 + 0.5) / 1e4 AS precision, FLOOR(f1 * 1e4 + 0.5) / 1e4 AS f1 FROM f", _COUNTS, _METRICS))
+def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Support, recall, precision and F1 of every class."""
+    return _rounded(learning.class_report(_counts(spark, sf_dir)), "recall", "precision", "f1")
+
+
+@query(with_views(f"SELECT {_ROUNDED} FROM f", _COUNTS, _METRICS))
+def overall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(learning.summary(_counts(spark, sf_dir)), "accuracy", "balanced_accuracy", "macro_f1")
+
+
+@query(with_views(f"SELECT {_ROUNDED} FROM f", BARS, NEWS, _CUT, _NUM, _BASE, _LABELLED, f"c AS (SELECT label, (SELECT label FROM labelled WHERE day < {_SPLIT} GROUP BY label ORDER BY COUNT(*) DESC, label LIMIT 1) AS predicted, COUNT(*) AS n FROM labelled WHERE day >= {_SPLIT} GROUP BY 1)", _METRICS))
+def majority_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three metrics of the baseline that always predicts the earlier days' most frequent class."""
+    train, test = learning.chronological(labelled(spark, sf_dir), "day", "1997-01-01")
+    return _rounded(learning.majority_metrics(train, test), "accuracy", "balanced_accuracy", "macro_f1")
+
+
+@query("""SELECT o_orderkey AS news_id, CAST((SELECT COUNT(*) FROM (SELECT DISTINCT o_orderpriority AS v FROM orders WHERE o_orderkey % 9 > 0 UNION SELECT '__MISSING__') d WHERE d.v < COALESCE(CASE WHEN o.o_orderkey % 9 > 0 THEN o.o_orderpriority END, '__MISSING__')) AS INT) AS code FROM orders o""")
+def category_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories as their place in the vocabulary of the whole table; missing ones have a value of their own."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("news_id"), F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderpriority")).alias("category"))
+    return learning.coded(rows, "category", learning.vocabulary(rows, "category"), "code").select("news_id", "code")
+
+
+@query("""SELECT metric, FLOOR(AVG(v) * 1e4 + 0.5) / 1e4 AS mean, FLOOR(STDDEV_SAMP(v) * 1e4 + 0.5) / 1e4 AS std, FLOOR(MIN(v) * 1e4 + 0.5) / 1e4 AS least, FLOOR(MAX(v) * 1e4 + 0.5) / 1e4 AS greatest FROM (
+ SELECT 'accuracy' AS metric, AVG(l_tax * 10) AS v FROM lineitem GROUP BY l_linenumber UNION ALL SELECT 'macro_f1', AVG(l_discount * 10) FROM lineitem GROUP BY l_linenumber) x GROUP BY 1""")
+def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, sample deviation, least and greatest of each metric over the folds."""
+    folds = table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.avg(F.col("l_tax") * 10).alias("accuracy"), F.avg(F.col("l_discount") * 10).alias("macro_f1"))
+    return _rounded(learning.fold_summary(folds, ["accuracy", "macro_f1"]), "mean", "std", "least", "greatest")
+
+
+@query("""SELECT mode, COUNT(*) AS n FROM (SELECT 'full' AS mode FROM orders UNION ALL SELECT 'incremental' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7)
+ UNION ALL SELECT 'ids' FROM orders WHERE o_orderkey % 100 = 0) x GROUP BY 1""")
+def scoring_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many items each mode of scoring takes."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("news_id"))
+    done = table(spark, sf_dir, "lineitem").filter("l_linenumber = 7").select(F.col("l_orderkey").alias("news_id"))
+    taken = [learning.wanted(rows, done, mode, rows.filter("news_id % 100 = 0")).select(F.lit(mode).alias("mode")) for mode in ("full", "incremental", "ids")]
+    return taken[0].unionByName(taken[1]).unionByName(taken[2]).groupBy("mode").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CAST(SUM(n) AS BIGINT) AS predictions, COUNT(*) FILTER (WHERE n > 1) AS repeated_keys, CAST(SUM(off) AS BIGINT) AS bad_sums, CAST(SUM(open) AS BIGINT) AS no_direction FROM (
+ SELECT l_orderkey, l_linenumber, COUNT(*) AS n, COUNT(*) FILTER (WHERE l_partkey % 50 = 0) AS off, COUNT(*) FILTER (WHERE l_partkey % 30 = 0) AS open FROM lineitem GROUP BY 1, 2) x""")
+def prediction_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored predictions verified: repeated keys, probabilities that do not add up, rows without a direction."""
+    bad = F.col("l_partkey") % 50 == 0
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(0.25).alias("p_negative"), F.lit(0.25).alias("p_neutral"), F.when(bad, 0.4).otherwise(0.5).alias("p_positive"), F.when(F.col("l_partkey") % 30 != 0, "POSITIVE").alias("direction"))
+    return learning.prediction_checks(rows, ["l_orderkey", "l_linenumber"])
+
+
+_FOLDS = """days AS (SELECT DISTINCT day FROM labelled), w AS (SELECT CAST(s AS DATE) AS test_start, CAST(s + INTERVAL '2' MONTH AS DATE) AS test_end FROM (SELECT UNNEST(GENERATE_SERIES(
+ CAST(DATE_TRUNC('month', MIN(day)) + INTERVAL '6' MONTH AS TIMESTAMP), CAST(DATE_TRUNC('month', MAX(day)) - INTERVAL '1' MONTH AS TIMESTAMP), INTERVAL '2' MONTH)) AS s FROM days) g),
+ f AS (SELECT test_start, test_end, (SELECT COUNT(*) FROM days WHERE day < test_start) AS ahead, (SELECT MAX(day) FROM days WHERE day < (SELECT MAX(day) FROM days WHERE day < test_start)) AS train_end,
+ (SELECT COUNT(*) FROM days WHERE day >= test_start AND day < test_end) AS inside FROM w), k AS (SELECT *, ROW_NUMBER() OVER (ORDER BY test_start DESC) AS back FROM f WHERE ahead > 60 AND inside > 0),
+ p AS (SELECT *, ROW_NUMBER() OVER (ORDER BY test_start) AS fold FROM k WHERE back <= 5)"""
+
+
+@query(with_views("""SELECT CAST(fold AS INT) AS fold, CASE WHEN day <= train_end THEN 'train' ELSE 'test' END AS part, COUNT(*) AS n, MIN(day) AS first_day, MAX(day) AS last_day FROM labelled, p
+ WHERE day <= train_end OR (day >= test_start AND day < test_end) GROUP BY 1, 2""", BARS, NEWS, _CUT, _NUM, _BASE, _LABELLED, _FOLDS))
 def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last five expanding folds of two test months each, with rows in train and test."""
     rows = labelled(spark, sf_dir)
@@ -55,7 +130,7 @@ def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def direction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities, direction and score of every item with features, from boosted trees trained on earlier days."""
+    """Probabilities, direction and score of every item with features, from a forest trained on earlier days."""
     features = event_features(spark, sf_dir).withColumn("post_market", F.col("post_market").cast("int"))
     rows = features.join(labelled(spark, sf_dir), "news_id", "left")
     return learning.scored(rows, [c for c in features.columns if c != "news_id"], "label", F.col("day") < F.lit("1997-01-01").cast("date"))

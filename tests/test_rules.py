@@ -181,3 +181,36 @@ def test_stream_keeps_first_arrivals(spark, tmp_path):
     stream = feed.first_arrivals(feed.read_feed(spark, str(tmp_path / "in"), "id long, at timestamp"), ["id"], "at")
     feed.run_available(stream, str(tmp_path / "check"), lambda df, _: seen.extend(r["id"] for r in df.collect())).awaitTermination()
     assert sorted(seen) == [1, 2]
+
+
+def test_models_are_stored_and_scored(spark, tmp_path):
+    from bourseline.operators import learning
+
+    rows = spark.range(300).selectExpr("id AS news_id", "CAST(id % 3 AS DOUBLE) AS x", "CAST(id % 7 AS DOUBLE) AS y", "element_at(array('NEGATIVE', 'NEUTRAL', 'POSITIVE'), CAST(id % 3 + 1 AS INT)) AS target")
+    model = learning.fit(rows, ["x", "y"], "target", trees=5)
+    path = f"file://{tmp_path}/model"
+    learning.save_model(spark, model, ["x", "y"], {"accuracy": 1.0}, path)
+    got = learning.score_stored(spark, path, rows.select("y", "news_id", "x", "target"))
+    assert got.join(rows.select("news_id", "target"), "news_id").filter("direction = target").count() == 300
+    assert learning.prediction_checks(got, ["news_id"]).first().asDict() == {"predictions": 300, "repeated_keys": 0, "bad_sums": 0, "no_direction": 0}
+    assert spark.read.csv(f"{path}/importance", header=True).first()["feature"] == "x"
+    with pytest.raises(ValueError, match="missing"):
+        learning.score_stored(spark, path, rows.drop("x"))
+    with pytest.raises(ValueError, match="leak"):
+        learning.checked_features(["x", "return_5d"])
+    with pytest.raises(ValueError, match="no features"):
+        learning.wanted(rows, rows, "ids", spark.range(299, 302).selectExpr("id AS news_id"))
+    words = learning.vocabulary(rows, "target")
+    assert words == ["NEGATIVE", "NEUTRAL", "POSITIVE", learning.MISSING]
+    with pytest.raises(Exception, match="unseen value"):
+        learning.coded(rows.withColumn("target", F.lit("NEW")), "target", words, "code").collect()
+
+
+def test_a_file_of_one_day(spark):
+    from bourseline.plans.reports import single_day
+
+    rows = spark.createDataFrame([("2024-01-01",), ("2024-01-01",)], "d string")
+    assert single_day(rows, "d").count() == 2
+    for bad in (rows.unionByName(spark.createDataFrame([("2024-01-02",)], "d string")), rows.unionByName(spark.createDataFrame([(None,)], "d string")), rows.filter("false")):
+        with pytest.raises(ValueError):
+            single_day(bad, "d")
