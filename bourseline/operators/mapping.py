@@ -17,7 +17,9 @@ SUSPENSION = r"(?i)\bSuspension of Trading\b"
 COMPANY_WORDS = r"(?i)\b(?:Ltd|Limited|India|Industries|Corporation|Company|Finance|Bank|Pharma|Energy|Steel|Cement|Motors|Power|Technologies|Services|Enterprises)\b"
 
 #: Rules of the cascade from the strongest on, with their confidence.
-RULES = (("SCRIP_CODE", 1.0), ("SYMBOL", 0.98), ("NAME", 0.9))
+RULES = (("EXISTING_ID", 1.0), ("CURATED_ALIAS", 1.0), ("SCRIP_CODE", 1.0), ("SYMBOL", 0.98), ("NAME", 0.9), ("ALIAS", 0.88), ("CROSS_EXCHANGE", 0.85))
+#: Stands for any exchange.
+ANY = "*"
 
 
 def notice_rules(category: Column, title: Column, company: Column) -> tuple[Column, Column, Column]:
@@ -32,9 +34,9 @@ def notice_rules(category: Column, title: Column, company: Column) -> tuple[Colu
 
 
 def security_keys(securities: DataFrame) -> DataFrame:
-    """rule, key, security_id: every key by which a security is found, one row each."""
+    """rule, key, security_id: every key by which a security is found on any exchange, one row each; scrip_code is a column."""
     pairs = F.array(
-        F.struct(F.lit("SCRIP_CODE").alias("rule"), (500000 + F.col("security_id")).cast("string").alias("key")),
+        F.struct(F.lit("SCRIP_CODE").alias("rule"), F.col("scrip_code").cast("string").alias("key")),
         F.struct(F.lit("SYMBOL").alias("rule"), T.normalized_symbol(F.col("symbol")).alias("key")),
         F.struct(F.lit("NAME").alias("rule"), T.without_legal_suffix(T.normalized_name(F.col("instrument_name"))).alias("key")),
     )
@@ -52,14 +54,46 @@ def news_keys(titled: DataFrame) -> DataFrame:
     return titled.select("news_id", F.explode(pairs).alias("k")).select("news_id", "k.rule", "k.key")
 
 
+def _keyed(rows: DataFrame, key: str, pairs: list[tuple[str, Column, Column]]) -> DataFrame:
+    """rule, exchange, key beside an id; rows without a key fall away."""
+    each = F.array(*[F.struct(F.lit(rule).alias("rule"), where.alias("exchange"), value.alias("key")) for rule, where, value in pairs])
+    return rows.select(key, F.explode(each).alias("k")).select(key, "k.rule", "k.exchange", "k.key").filter("key <> ''")
+
+
+def exchange_keys(securities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Keys of active securities (security_id, exchange, symbol, scrip_code, name) and aliases (security_id, alias, curated).
+
+    Scrip codes hold on BSE, symbols and names on their exchange, ids and aliases on any; a name on any other exchange is the last rule.
+    """
+    name = T.without_legal_suffix(T.normalized_name(F.col("name")))
+    any_, own = F.lit(ANY), F.col("exchange")
+    keys = _keyed(securities, "security_id", [("EXISTING_ID", any_, F.col("security_id").cast("string")), ("SCRIP_CODE", F.lit("BSE"), F.col("scrip_code").cast("string")), ("SYMBOL", own, T.normalized_symbol(F.col("symbol"))), ("NAME", own, name), ("CROSS_EXCHANGE", any_, name)])
+    alias = T.normalized_name(F.col("alias"))
+    other = _keyed(aliases.join(securities.select("security_id"), "security_id", "left_semi"), "security_id", [("CURATED_ALIAS", any_, F.when(F.col("curated"), alias)), ("ALIAS", any_, F.when(~F.col("curated"), alias))])
+    return keys.unionByName(other).distinct()
+
+
+def event_keys(events: DataFrame) -> DataFrame:
+    """The same keys of events (news_id, exchange, existing_id, scrip_code, symbol, company)."""
+    company = T.normalized_name(F.col("company"))
+    bare = T.without_legal_suffix(company)
+    any_, own = F.lit(ANY), F.col("exchange")
+    return _keyed(events, "news_id", [("EXISTING_ID", any_, F.col("existing_id").cast("string")), ("CURATED_ALIAS", any_, company), ("SCRIP_CODE", own, F.col("scrip_code").cast("string")), ("SYMBOL", own, T.normalized_symbol(F.col("symbol"))), ("NAME", own, bare), ("ALIAS", any_, company), ("CROSS_EXCHANGE", any_, bare)])
+
+
 def cascade(wanted: DataFrame, keys: DataFrame) -> DataFrame:
-    """The first rule with a candidate decides: one security is MAPPED, several are AMBIGUOUS, none is PENDING."""
+    """The first rule with a candidate decides: one security is MAPPED, several are AMBIGUOUS, none is PENDING.
+
+    Rows without a key do not enter the join; their items come back as PENDING.
+    """
     order = reduce(lambda c, r: c.when(F.col("rule") == r[1][0], r[0]), list(enumerate(RULES))[1:], F.when(F.col("rule") == RULES[0][0], 0))
-    found = wanted.join(keys, ["rule", "key"], "left").withColumn("rank", F.when(F.col("security_id").isNotNull(), order))
+    on = ["rule", "exchange", "key"] if "exchange" in wanted.columns else ["rule", "key"]
+    found = wanted.filter("key IS NOT NULL").join(keys, on).withColumn("rank", order)
     # per rule first (partial aggregates), then the least rule: no item's candidates are collected
     per = found.groupBy("news_id", "rule", "rank").agg(F.min("security_id").alias("low"), F.max("security_id").alias("high"))
-    best = per.groupBy("news_id").agg(F.min_by(F.struct("rule", "low", "high"), F.coalesce("rank", F.lit(99))).alias("b"), F.min("rank").alias("rank"))
-    hit, single = F.col("rank").isNotNull(), F.col("b.low") == F.col("b.high")
+    best = per.groupBy("news_id").agg(F.min_by(F.struct("rule", "low", "high"), "rank").alias("b"))
+    best = wanted.select("news_id").distinct().join(best, "news_id", "left")
+    hit, single = F.col("b").isNotNull(), F.col("b.low") == F.col("b.high")
     sure = reduce(lambda c, r: c.when(F.col("b.rule") == r[0], F.lit(r[1])), RULES[1:], F.when(F.col("b.rule") == RULES[0][0], F.lit(RULES[0][1])))
     return best.select("news_id", F.when(hit & single, F.col("b.low")).alias("security_id"), F.when(hit, F.col("b.rule")).alias("match_method"), F.when(hit, sure).alias("confidence"), F.when(~hit, "PENDING").when(single, "MAPPED").otherwise("AMBIGUOUS").alias("status"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import matching, upsert
-from .facades import table, with_views
+from ..operators import mapping, matching, upsert
+from .facades import NEWS, news, table, with_views
 from .registry import query
 
 _LISTED = """listed AS (SELECT p_partkey AS security_id, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 'INE' || LPAD(CAST(p_partkey - CASE WHEN p_partkey % 10 = 1 THEN 1 ELSE 0 END AS VARCHAR), 9, '0') END AS isin,
@@ -165,3 +165,32 @@ def canonical_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def single_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The check ahead of any model: one eligible candidate decides by itself."""
     return matching.single_eligible(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("security_id"), (F.col("l_discount") > 0.07).alias("eligible")))
+
+
+_EVENTS = """ev AS (SELECT news_id, news_id % 8 AS kind, CASE WHEN news_id // 8 % 2 = 0 THEN 'NSE' ELSE 'BSE' END AS exchange, news_id * 7 % 200 AS t FROM news),
+ sec AS (SELECT security_id, exchange, symbol, CASE WHEN security_id % 4 = 0 THEN 'ONLY ' || CAST(security_id AS VARCHAR) ELSE UPPER(name) END AS nm FROM listed WHERE security_id % 9 <> 0),
+ cand AS (SELECT news_id, 1 AS r, 'EXISTING_ID' AS rule, 1.0 AS conf, security_id FROM ev JOIN sec ON kind = 0 AND security_id = t
+ UNION ALL SELECT news_id, 2, 'CURATED_ALIAS', 1.0, security_id FROM ev JOIN sec ON kind = 1 AND security_id = t
+ UNION ALL SELECT news_id, 3, 'SCRIP_CODE', 1.0, security_id FROM ev JOIN sec ON kind = 2 AND ev.exchange = 'BSE' AND security_id = t
+ UNION ALL SELECT news_id, 4, 'SYMBOL', 0.98, security_id FROM ev JOIN sec ON kind = 3 AND sec.exchange = ev.exchange AND symbol = 'SYM' || CAST(t // 2 AS VARCHAR)
+ UNION ALL SELECT news_id, 5, 'NAME', 0.9, security_id FROM ev JOIN sec ON sec.exchange = ev.exchange AND nm = CASE kind WHEN 4 THEN 'SMALL RING' WHEN 6 THEN 'ONLY ' || CAST(t // 4 * 4 AS VARCHAR) END
+ UNION ALL SELECT news_id, 6, 'ALIAS', 0.88, security_id FROM ev JOIN sec ON kind = 5 AND security_id = t
+ UNION ALL SELECT news_id, 7, 'CROSS_EXCHANGE', 0.85, security_id FROM ev JOIN sec ON nm = CASE kind WHEN 4 THEN 'SMALL RING' WHEN 6 THEN 'ONLY ' || CAST(t // 4 * 4 AS VARCHAR) END)"""
+
+
+@query(with_views("""SELECT ev.news_id, CASE WHEN n = 1 THEN id END AS security_id, rule AS match_method, conf AS confidence, CASE WHEN n IS NULL THEN 'PENDING' WHEN n = 1 THEN 'MAPPED' ELSE 'AMBIGUOUS' END AS status FROM ev LEFT JOIN (
+ SELECT c.news_id, c.rule, c.conf, COUNT(DISTINCT security_id) AS n, MIN(security_id) AS id FROM cand c JOIN (SELECT news_id, MIN(r) AS r FROM cand GROUP BY 1) f ON f.news_id = c.news_id AND f.r = c.r GROUP BY 1, 2, 3) x ON x.news_id = ev.news_id""", NEWS, _LISTED, _EVENTS))
+def mapping_by_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven rules of the cascade with the exchanges on which they hold; every rule has events, and some names are ambiguous."""
+    key = F.col("security_id")
+    rows = listed(spark, sf_dir).filter(key % 9 != 0)
+    securities = rows.select("security_id", "exchange", "symbol", (500000 + key).alias("scrip_code"), F.when(key % 4 == 0, F.concat(F.lit("Only "), key.cast("string"), F.lit(" Ltd"))).otherwise(F.col("name")).alias("name"))
+    aliases = rows.select("security_id", F.concat(F.lit("Curated "), key.cast("string")).alias("alias"), F.lit(True).alias("curated")).unionByName(rows.select("security_id", F.concat(F.lit("Plain "), key.cast("string")).alias("alias"), F.lit(False).alias("curated")))
+    item = F.col("news_id")
+    kind, t = item % 8, item * 7 % 200
+    text = t.cast("string")
+    company = F.when(kind == 1, F.concat(F.lit("curated "), text)).when(kind == 4, "Small Ring Limited").when(kind == 5, F.concat(F.lit("PLAIN "), text)).when(kind == 6, F.concat(F.lit("only "), (F.floor(t / 4) * 4).cast("string")))
+    events = news(spark, sf_dir).select("news_id", F.when(F.floor(item / 8) % 2 == 0, "NSE").otherwise("BSE").alias("exchange"), F.when(kind == 0, t).alias("existing_id"), F.when(kind == 2, 500000 + t).alias("scrip_code"), F.when(kind == 3, F.concat(F.lit("sym"), F.floor(t / 2).cast("string"))).alias("symbol"), company.alias("company"))
+    mapped = mapping.cascade(mapping.event_keys(events), mapping.exchange_keys(securities, aliases))
+    none = events.select("news_id").join(mapped.select("news_id"), "news_id", "left_anti")
+    return mapped.unionByName(none.withColumn("status", F.lit("PENDING")), allowMissingColumns=True)

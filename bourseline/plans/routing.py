@@ -63,7 +63,7 @@ def notice_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
  LEFT JOIN master n ON t.news_id % 6 = 2 AND n.is_active AND n.security_id = t.existing_id""", NEWS, MASTER, _TITLED))
 def mapping_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item mapped by the first rule that finds a security: scrip code, symbol, name; several of one rule are ambiguous."""
-    keys = mapping.security_keys(master(spark, sf_dir).filter("is_active"))
+    keys = mapping.security_keys(master(spark, sf_dir).filter("is_active").withColumn("scrip_code", 500000 + F.col("security_id")))
     return mapping.cascade(mapping.news_keys(titled(spark, sf_dir)), keys).select("news_id", "security_id", "match_method", "confidence", "status")
 
 

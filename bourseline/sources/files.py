@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator
@@ -42,28 +43,50 @@ def valid_prices(prices: DataFrame, segment: str = "CM", kind: str = "STK") -> D
     return prices.filter((F.col("segment") == segment) & (F.col("instrument_type") == kind)).filter("trade_date IS NOT NULL AND symbol IS NOT NULL AND high > 0 AND low > 0 AND close > 0")
 
 
-def read_zipped_prices(spark: SparkSession, path: str) -> DataFrame:
-    """Price files in ZIP archives: of each archive the CSV with the shallowest and then shortest path. An archive is one task's work."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
-                    inside = [n for n in archive.namelist() if n.lower().endswith(".csv")]
-                    if not inside:
-                        continue
-                    data = archive.read(min(inside, key=lambda n: (n.count("/"), len(n), n)))
+def _members(path: str, content: bytes) -> Iterator[bytes]:
+    """The CSV of a file: itself, or of an archive the member with the shallowest and then shortest path."""
+    if not path.lower().endswith(".zip"):
+        yield content
+        return
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        inside = [n for n in archive.namelist() if n.lower().endswith(".csv")]
+        if inside:
+            yield archive.read(min(inside, key=lambda n: (n.count("/"), len(n), n)))
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The price columns of each file by its own header; a missing one raises, and bytes that are not UTF-8 are cp1252."""
+    heads = [h for h, _, _ in PRICE_COLUMNS]
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            for data in _members(path, content.as_py()):
                 try:
                     text = data.decode("utf-8-sig")
                 except UnicodeDecodeError:
                     text = data.decode("cp1252", "replace")
-                head, *lines = text.splitlines()
-                yield pa.RecordBatch.from_arrays([pa.array([head] * len(lines), pa.string()), pa.array(lines, pa.string())], names=["head", "line"])
+                reader = csv.DictReader(io.StringIO(text, newline=""))
+                names = {(c or "").strip(): c for c in reader.fieldnames or []}
+                if missing := [h for h in heads if h not in names]:
+                    raise ValueError(f"columns are missing in {path}: {missing}")
+                rows = list(reader)
+                yield pa.RecordBatch.from_arrays([pa.array([r[names[h]] for r in rows], pa.string()) for h in heads], names=heads)
+
+
+def read_price_files(spark: SparkSession, path: str, glob: str = "*.{csv,CSV,zip,ZIP}") -> DataFrame:
+    """All price files below a folder, plain and zipped, by their own headers. A file is one task's work, as daily files are small."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return typed_prices(files.mapInArrow(_parsed, ", ".join(f"`{h}` string" for h, _, _ in PRICE_COLUMNS)))
+
+
+def read_zipped_prices(spark: SparkSession, path: str) -> DataFrame:
+    """Price files in ZIP archives: of each archive the CSV with the shallowest and then shortest path."""
+    return read_price_files(spark, path, "*.zip")
+
 
-    lines = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(rows, "head string, line string")
-    schema = ", ".join(f"`{h}` string" for h, _, _ in PRICE_COLUMNS)
-    place = F.from_csv("line", F.lit(schema))
-    return typed_prices(lines.filter(F.trim("line") != "").select(place.alias("r")).select("r.*"))
+def newest_file(spark: SparkSession, path: str, glob: str = "*.csv") -> str | None:
+    """The path of the file that was written last; of several the greatest path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path")).first()["path"]
 
 
 def read_corporate_actions(spark: SparkSession, path: str) -> DataFrame:

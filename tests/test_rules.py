@@ -214,3 +214,47 @@ def test_a_file_of_one_day(spark):
     for bad in (rows.unionByName(spark.createDataFrame([("2024-01-02",)], "d string")), rows.unionByName(spark.createDataFrame([(None,)], "d string")), rows.filter("false")):
         with pytest.raises(ValueError):
             single_day(bad, "d")
+
+
+def test_price_files_are_read_by_their_headers(spark, tmp_path):
+    heads = [h for h, _, _ in files.PRICE_COLUMNS]
+    values = {"TradDt": "2024-01-02", "ISIN": "INE000000001", "TckrSymb": "ABC", "ClsPric": "1,234.5", "FinInstrmNm": 'Caf\u00e9, "Ltd"\nline'}
+    turned = heads[::-1]
+    cell = lambda v: '"' + v.replace('"', '""') + '"'
+    line = ",".join(cell(values.get(h, "")) for h in turned)
+    text = ",".join(turned) + "\n" + line + "\n"
+    folder = tmp_path / "in" / "deep"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_bytes(text.encode("cp1252"))
+    with zipfile.ZipFile(tmp_path / "in" / "b.zip", "w") as z:
+        z.writestr("x/y.csv", "no")
+        z.writestr("z.csv", "\ufeff" + text)
+    got = files.read_price_files(spark, f"file://{tmp_path}/in").collect()
+    assert [(r["isin"], r["symbol"], r["close"], r["instrument_name"]) for r in got] == [("INE000000001", "ABC", 1234.5, values["FinInstrmNm"])] * 2
+    assert files.newest_file(spark, f"file://{tmp_path}/in").endswith("a.csv")
+    (folder / "c.csv").write_text("TradDt\n2024-01-02\n")
+    with pytest.raises(Exception, match="columns are missing"):
+        files.read_price_files(spark, f"file://{tmp_path}/in").collect()
+
+
+def test_reports_and_trends_are_written_and_read(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    rows = spark.createDataFrame([("02-01-2024", "7,000.5"), ("bad", "1"), ("01-01-2024", "6999")], "` DATE ` string, Close string")
+    files.write_report(rows.coalesce(1), path)
+    got = files.read_index_trend(spark, path).collect()
+    assert [(str(r["trade_date"]), r["close"]) for r in got] == [("2024-01-01", 6999.0), ("2024-01-02", 7000.5)]
+    with pytest.raises(ValueError):
+        files.write_report(rows.select("Close"), f"{path}2")
+        files.read_index_trend(spark, f"{path}2")
+    files.write_json(rows, f"{path}3")
+    assert spark.read.json(f"{path}3").count() == 3
+    parts = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    files.overwrite_partitions(parts, f"{path}4", ["k"])
+    files.overwrite_partitions(spark.createDataFrame([(2, "c")], "k int, v string"), f"{path}4", ["k"])
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(f"{path}4").collect()) == [(1, "a"), (2, "c")]
+    (tmp_path / "att").mkdir()
+    for name in ("x", "y"):
+        (tmp_path / "att" / name).write_bytes(b"same")
+    (tmp_path / "att" / "z").write_bytes(b"other")
+    assert sorted(r["files"] for r in files.read_attachments(spark, f"file://{tmp_path}/att").collect()) == [1, 2]
+    assert upsert.run_record(spark, "r1", {"built": 3, "failed": 0}, "SUCCESS").first().asDict() == {"run_id": "r1", "status": "SUCCESS", "built": 3, "failed": 0}
