@@ -110,3 +110,21 @@ def mean_of_last(values: Column, n: int) -> Column:
 
 def any_null(*columns: Column) -> Column:
     return reduce(lambda a, b: a | b, [c.isNull() for c in columns])
+
+
+def session_features(bars: DataFrame) -> DataFrame:
+    """The point-in-time row of every session: prices, rolling indicators, their means and deviations over 5, 10 and 20
+    sessions, extremes, trends, and returns back and ahead.
+
+    Everything is a frame over one sort for each security, computed once for a
+    session however many events refer to it; no slice is collected but the 20
+    closes of the drawdown.
+    """
+    order = Window.partitionBy("security_id").orderBy("trade_date")
+    near = lambda f, c, n: f(c).over(_frame(1 - n, 0))
+    rows = rolling(bars).withColumn("session", F.row_number().over(order))
+    rows = rows.withColumns({f"return_mean_{n}d": near(F.avg, "daily_return", n) for n in (5, 10, 20)} | {f"return_std_{n}d": near(F.stddev_samp, "daily_return", n) for n in (5, 10, 20)} | {f"volatility_mean_{n}d": near(F.avg, "volatility_5d", n) for n in (5, 10, 20)} | {f"volume_ratio_mean_{n}d": near(F.avg, "volume_ratio_5", n) for n in (5, 10, 20)} | {f"volume_mean_{n}d": near(F.avg, "volume", n) for n in (5, 20)})
+    trend = lambda c: F.when(F.count(c).over(_frame(-19, 0)) >= 2, F.regr_slope(F.col(c), F.col("session")).over(_frame(-19, 0)))
+    rows = rows.withColumns({"high_20d": near(F.max, "close", 20), "low_20d": near(F.min, "close", 20), "price_trend_20d": trend("close"), "volume_trend_20d": trend("volume"), "closes_20": F.collect_list("close").over(_frame(-19, 0))})
+    rows = rows.withColumns({f"backward_return_{n}d": change_rate(F.col("close"), F.lag("close", n).over(order)) for n in (1, 5, 10)} | {f"forward_return_{n}d": change_rate(F.lead("close", n).over(order), F.col("close")) for n in (1, 3, 5, 10)})
+    return rows.withColumns({"distance_from_high_20d": change_rate(F.col("close"), F.col("high_20d")), "distance_from_low_20d": change_rate(F.col("close"), F.col("low_20d")), "max_drawdown_20d": drawdown(F.col("closes_20"))}).drop("closes_20")
