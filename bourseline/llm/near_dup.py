@@ -10,13 +10,15 @@ alignment banded to the edits that this allows decides.  Classes are the
 connected components of the links.
 
 Equal texts are one class from the start and only the least doc_id stands for
-them.  In every signature's group leaders are compared to the members outside
-their component, then leave the group; groups that are one component are done.
-The others go on with more leaders, until every candidate pair is verified or
-connected, so comparisons grow with the members and the components and not with
-the square of a group of copies.  A group of more than ``crowd`` components
-after three rounds is a passage that otherwise different texts share: its
-k-mers are left out, and the documents of such groups are sketched again
+them.  First, components are merged: in every signature's group one member of
+the largest component is compared to one member of each other component, over
+a few slots and then over all.  Groups that are one component are done.  In the
+others leaders from all components but the largest are compared to all members outside
+their component, then leave the group, until every candidate pair is verified
+or connected, so comparisons grow with the members and the components and not
+with the square of a group of copies.  A group of more than ``crowd``
+components after the merging is a passage that otherwise different texts share:
+its k-mers are left out, and the documents of such groups are sketched again
 without them, for as long as there are such groups.
 
 Null text is empty; empty texts are one class.  A text of fewer than five
@@ -182,13 +184,6 @@ def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return found
 
 
-def _entries(sketch: DataFrame) -> DataFrame:
-    """sig, slot, id, words of every signature that two documents share."""
-    every = sketch.select(F.col("doc_id").alias("id"), "words", F.posexplode("sigs").alias("slot", "sig")).dropDuplicates(["id", "sig"])
-    shared = every.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig")
-    return stored(every.join(shared, "sig").select("sig", "slot", "id", "words"), "entries")
-
-
 class _Links:
     """Verified links so far, as the component of every document that has one."""
 
@@ -197,30 +192,53 @@ class _Links:
         self.done: DataFrame | None = None
         self.labels = components(texts.sparkSession.createDataFrame([], "u long, v long"))
 
-    def label(self, entries: DataFrame) -> DataFrame:
-        named = self.labels.withColumnRenamed("v", "id")
-        return entries.drop("label").join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    def entries(self, sketch: DataFrame, slots: int) -> DataFrame:
+        """sig, id, words, label of the first signatures; the component is looked up once for each document."""
+        named = sketch.join(self.labels.withColumnRenamed("v", "doc_id"), "doc_id", "left")
+        return named.select(F.explode(F.array_distinct(F.slice("sigs", 1, slots))).alias("sig"), F.col("doc_id").alias("id"), "words", F.coalesce("label", "doc_id").alias("label"))
 
-    def lead(self, entries: DataFrame, leaders: int) -> DataFrame:
-        """Compare up to so many leaders of each group to the members outside their component; the entries that stay open."""
-        order = F.xxhash64("id")
-        chosen = entries.groupBy("sig", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(leaders)).alias("part")).agg(F.min_by(F.struct("id", "words", "label"), F.struct(order, "id")).alias("lead"))
-        chosen = stored(chosen.select("sig", F.col("lead.id").alias("lead"), F.col("lead.words").alias("lead_words"), F.col("lead.label").alias("lead_label")), "leaders")
+    def parts(self, entries: DataFrame, salt: int) -> DataFrame:
+        """One member of each component in each group of more than one component, and the component's size there."""
+        each = entries.groupBy("sig", "label").agg(F.min_by(F.struct("id", "words"), F.struct(F.xxhash64("id", F.lit(salt)), "id")).alias("one"), F.count("*").alias("n"))
+        shared = each.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig")
+        return each.join(shared, "sig", "left_semi").select("sig", "label", "one.id", "one.words", "n")
+
+    def link(self, entries: DataFrame, chosen: DataFrame) -> bool:
+        """Verify the members against the leaders of their group in other components; whether any pair was new."""
         longer = F.greatest("words", "lead_words")
         fits = longer - F.least("words", "lead_words") <= F.floor((1 - self.similarity) * longer + 1e-9)
         pairs = entries.join(chosen, "sig").filter("label <> lead_label").filter(fits).select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct()
         pairs = stored(pairs if self.done is None else pairs.join(self.done, ["u", "v"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            return False
         self.done = pairs if self.done is None else self.done.unionByName(pairs)
         found = _links(pairs, self.texts, self.similarity)
         self.labels = components(self.labels.select(F.col("label").alias("u"), "v").unionByName(found))
-        left = self.label(entries.join(chosen.select("sig", F.col("lead").alias("id")), ["sig", "id"], "left_anti"))
-        left = stored(self.open(left), "open")
-        discard(chosen)
-        return left
+        return True
 
-    def open(self, entries: DataFrame) -> DataFrame:
-        parted = entries.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
-        return entries.join(parted, "sig", "left_semi").select("sig", "slot", "id", "words", "label")
+    def merge(self, sketch: DataFrame, slots: int, salt: int) -> None:
+        """Compare one member of each group's largest component to one member of each of its other components."""
+        each = stored(self.parts(self.entries(sketch, slots), salt), "parts")
+        lead = each.groupBy("sig").agg(F.max_by(F.struct("id", "words", "label"), F.struct("n", F.xxhash64("id", F.lit(salt)), "id")).alias("lead"))
+        self.link(each, lead.select("sig", F.col("lead.id").alias("lead"), F.col("lead.words").alias("lead_words"), F.col("lead.label").alias("lead_label")))
+        discard(each)
+
+    def lead(self, entries: DataFrame, leaders: int) -> DataFrame:
+        """Compare leaders of each group, up to 16 times ``leaders`` from all components but the largest, to all members outside their component; the entries that stay open."""
+        one = F.min_by(F.struct("id", "words"), F.struct(F.xxhash64("id"), "id")).alias("one")
+        each = stored(entries.groupBy("sig", "label", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(leaders)).alias("part")).agg(one, F.count("*").alias("n")), "parts")
+        sizes = each.groupBy("sig", "label").agg(F.sum("n").alias("size"))
+        largest = sizes.groupBy("sig").agg(F.max_by("label", F.struct("size", "label")).alias("largest"))
+        small = each.select("sig", "label", "one").join(sizes, ["sig", "label"]).join(largest, "sig").filter("label <> largest")
+        chosen = small.groupBy("sig", F.pmod(F.xxhash64("one.id"), F.lit(16 * leaders)).alias("part")).agg(F.min_by(F.struct("one", "label"), F.struct("size", "one.id")).alias("lead"))
+        chosen = stored(chosen.select("sig", F.col("lead.one.id").alias("lead"), F.col("lead.one.words").alias("lead_words"), F.col("lead.label").alias("lead_label")), "leaders")
+        self.link(entries, chosen)
+        left = entries.drop("label").join(chosen.select("sig", F.col("lead").alias("id")), ["sig", "id"], "left_anti")
+        left = left.join(self.labels.withColumnRenamed("v", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        parted = left.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
+        left = stored(left.join(parted, "sig", "left_semi").select("sig", "id", "words", "label"), "open")
+        discard(chosen, each)
+        return left
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, slots: int = 48, kept: int = 2, crowd: int = 64) -> DataFrame:
@@ -232,32 +250,30 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, slots: int
     sketch = stored(keyed.mapInArrow(_sketch(slots, kept, common), schema), "sketch")
     exact = stored(sketch.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "exact")
     # a doc_id that stands for two texts is one vertex; its rows' texts are all compared
-    entries = _entries(sketch.join(exact, ["a", "b"]).filter("doc_id = rep"))
+    last, sketch = sketch, stored(sketch.join(exact, ["a", "b"]).filter("doc_id = rep").select("doc_id", "words", "sigs"), "sketch")
+    discard(last)
     found = _Links(keyed, similarity)
-    while not entries.isEmpty():
-        # a few slots connect most of a group of copies
-        discard(found.lead(found.label(entries.filter(F.col("slot") < slots // 6)), 1))
-        for leaders in (1, 4):
-            last, entries = entries, found.lead(stored(found.open(found.label(entries)), "open"), leaders)
-            discard(last)
-        if entries.isEmpty():
-            break
-        sizes = entries.groupBy("sig").agg(F.countDistinct("label").alias("n")).filter(F.col("n") > crowd)
-        crowded = stored(sizes.orderBy(F.desc("n"), "sig").limit(CROWDED).select("sig"), "crowded")
-        leaders = 16
-        rest = stored(entries.join(crowded, "sig", "left_anti"), "rest")
+    while True:
+        # a few slots connect most of a group of copies; the others then see it as one component
+        for number, salt in ((slots // 6, 0), (slots // 6, 1), (slots, 2), (slots, 3)):
+            found.merge(sketch, number, salt)
+        each = stored(found.parts(found.entries(sketch, slots), 4).groupBy("sig").agg(F.count("*").alias("n")), "parts")
+        crowded = stored(each.filter(F.col("n") > crowd).orderBy(F.desc("n"), "sig").limit(CROWDED).select("sig"), "crowded")
+        rest = stored(found.entries(sketch, slots).join(each.join(crowded, "sig", "left_anti").select("sig"), "sig", "left_semi"), "rest")
+        leaders = 1
         while not rest.isEmpty():
             last, rest = rest, found.lead(rest, leaders)
             discard(last)
             leaders *= 4
-        ids = stored(entries.join(crowded, "sig", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "ids")
+        ids = stored(sketch.select("doc_id", F.explode("sigs").alias("sig")).join(F.broadcast(crowded), "sig", "left_semi").select("doc_id").distinct(), "ids")
         if ids.isEmpty():
             break
         again = stored(texts_of(keyed, ids), "again")
         hot = np.sort(np.array([r["sig"] for r in crowded.toLocalIterator()], np.int64).view(np.uint64))
         more = again.mapInArrow(_kmers_of(slots, kept, common, hot), "kmer long").distinct()
         common = np.union1d(common, np.array([r["kmer"] for r in more.toLocalIterator()], np.int64).view(np.uint64))
-        entries = _entries(again.mapInArrow(_sketch(slots, kept, common), schema))
+        last, sketch = sketch, stored(again.mapInArrow(_sketch(slots, kept, common), schema).select("doc_id", "words", "sigs"), "sketch")
+        discard(last, again, ids, each, crowded)
     label = found.labels.select(F.col("v").alias("rep"), "label")
     classes = exact.join(label, "rep", "left").select("a", "b", F.coalesce("label", "rep").alias("class_id"), "copies")
     ids = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
