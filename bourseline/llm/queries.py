@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, lines, media, near_dup, packing, pii, substrings, token_store
+from . import decontaminate, html_text, langid, lines, media, near_dup, oracles, packing, pii, recipes, spelling, substrings, token_store, turn_trie
 from .common import fresh_path, load
 
 
@@ -61,6 +61,18 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(spark.read.parquet(path))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_latent_decontamination, op2_harmonic_packing, op3_rank_order_language, op4_de_bruijn_windows, op5_order_minhash, op6_fuzzy_lines, op7_boosted_pii, op8_token_store, op9_best_region_html, op10_transport_stream)}
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.shared_prefixes(load(spark, sf_dir, "conversations"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(load(spark, sf_dir, "documents"))
+
+
+def op13_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.exact_groups(load(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_latent_decontamination, op2_harmonic_packing, op3_rank_order_language, op4_de_bruijn_windows, op5_order_minhash, op6_fuzzy_lines, op7_boosted_pii, op8_token_store, op9_best_region_html, op10_transport_stream, op11_turn_trie, op12_spelling_variants, op13_chunk_recipes)}
+
+ORACLE_SQL: dict[str, str] = {"op11_turn_trie": oracles.PREFIXES, "op12_spelling_variants": oracles.SPELLING, "op13_chunk_recipes": oracles.EXACT_GROUPS}
