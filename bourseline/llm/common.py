@@ -60,6 +60,11 @@ def discard(*frames: DataFrame) -> None:
             spark._jvm.System.gc()
 
 
+def plain_names(columns: list[str]) -> list[str]:
+    """Names without dots and signs, which Arrow functions need: ``text`` stays, others are numbered."""
+    return [c if c == "text" else f"c{i}_" for i, c in enumerate(columns)]
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -430,4 +430,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 44, cosine: fl
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item was found; rows without a doc_id or text stay."""
     leaked = find_leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(leaked, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

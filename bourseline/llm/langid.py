@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import texts_of
+from .common import plain_names, texts_of
 
 UNKNOWN = "und"
 
@@ -152,5 +153,8 @@ def _judge_rows(profiles: dict[str, list[int]], size: int, longest: int, keep_te
 def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = 300, longest: int = 3, keep_text: bool = True) -> DataFrame:
     """All columns of ``docs`` (without the text if ``keep_text`` is off) with ``lang_pred`` and ``score`` (1: the profile's own ranks, 0: nothing shared)."""
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept if keep_text or f.name != "text")
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(_judge_rows(profiles, size, longest, keep_text), f"{ddl}, lang_pred string, score double")
+    plain = plain_names([f.name for f in kept])
+    stay = [(f, p) for f, p in zip(kept, plain, strict=True) if keep_text or f.name != "text"]
+    out = T.StructType([T.StructField(p, f.dataType) for f, p in stay]).add("lang_pred", "string").add("score", "double")
+    judged = docs.select(*[F.col(f"`{f.name}`").alias(p) for f, p in zip(kept, plain, strict=True)]).mapInArrow(_judge_rows(profiles, size, longest, keep_text), out)
+    return judged.toDF(*[f.name for f, _ in stay], "lang_pred", "score")

@@ -1,5 +1,7 @@
 """The pipeline's stages: what they keep and that their decisions take effect."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from bourseline.llm import decontaminate, langid, near_dup
 
@@ -52,3 +54,15 @@ def test_stages_keep_odd_rows_and_columns(spark):
         assert stage(spark, docs.filter("false"), "/root/testdata/sf0.001").count() == 0, name
     near = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert sorted(r["text"][:8] if r["text"] else "" for r in near) == ["", "The quic", "a wholly", "no numbe"]
+
+
+def test_stages_take_columns_of_any_name(spark):
+    text = "The quick brown fox that was in the house and then jumped over the lazy dog of the town. " * 3
+    docs = spark.createDataFrame([(1, text, "en"), (2, text + " end", "en"), (3, None, None)], "doc_id long, text string, lang string")
+    for name in ("my col", "a:b", "x,y", "dot.ted", "removed_lines__"):
+        docs = docs.withColumn(name, F.lit("kept"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns, name
+        assert {r["my col"] for r in out.collect()} <= {"kept"}, name
+    assert corpus_pipeline.pack(spark, docs, SMALL).count() > 0
