@@ -148,6 +148,17 @@ def identity_key(isin: Column, exchange: Column, symbol: Column, name: Column) -
     return F.when(filled(isin), isin).when(filled(symbol), F.concat_ws(":", exchange, symbol)).otherwise(F.concat_ws(":", exchange, name))
 
 
+def json_fields(text: Column) -> Column:
+    """The fields of a JSON object as raw values by name; nothing, no object or no JSON has no fields."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+
+def json_merged(old: Column, new: Column) -> Column:
+    """Two JSON objects as fields: those of the later one win whole, nulls and nested values stay as they are."""
+    later = json_fields(new)
+    return F.map_concat(F.map_filter(json_fields(old), lambda k, v: ~F.map_contains_key(later, k)), later)
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 M / T of the recursive longest matching blocks; no built-in function has these semantics. Null for a null."""

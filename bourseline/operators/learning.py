@@ -96,8 +96,17 @@ def ablation(rows: DataFrame, groups: dict[str, list[str]], label: str, train: C
 
 #: The value that stands for a missing category (fixed value).
 MISSING = "__MISSING__"
-#: Parts of column names that tell the future of an item (fixed values).
-LEAKS = ("future", "next_", "label", "direction_", "return_1d", "return_3d", "return_5d", "return_10d", "outcome")
+#: Columns that are no features (fixed values): identifiers, times, future returns and directions, label and eligibility flags.
+NO_FEATURES = (
+    "news_id", "security_id",
+    "event_trade_date", "published_at", "prediction_cutoff_ts", "cutoff_trade_date", "created_at", "updated_at",
+    "forward_return_1d", "forward_return_3d", "forward_return_5d", "forward_return_10d",
+    "direction_1d", "direction_3d", "direction_5d", "direction_10d",
+    "has_1d_label", "has_3d_label", "has_5d_label", "has_10d_label",
+    "prediction_eligible", "prediction_note",
+)
+#: Names that the label queries of this library give to what comes after an item.
+OWN_LABELS = ("label", "return_1d", "return_3d", "return_5d", "return_10d")
 
 
 def vocabulary(rows: DataFrame, column: str) -> list[str]:
@@ -114,8 +123,8 @@ def coded(rows: DataFrame, column: str, words: list[str], code: str) -> DataFram
 
 
 def checked_features(features: list[str], allowed: tuple[str, ...] = ()) -> list[str]:
-    """The features if none of them tells the future; else ValueError."""
-    bad = [f for f in features if f not in allowed and any(part in f.lower() for part in LEAKS)]
+    """The features if none of them tells the future or names a row; else ValueError. Backward returns are features."""
+    bad = [f for f in features if f not in allowed and f.lower() in (*NO_FEATURES, *OWN_LABELS)]
     if bad or len(set(features)) != len(features):
         raise ValueError(f"features that leak or repeat: {bad or features}")
     return features

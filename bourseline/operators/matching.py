@@ -41,7 +41,7 @@ def by_isin_then_symbol(records: DataFrame, master: DataFrame) -> DataFrame:
 
 def actions_to_master(records: DataFrame, master: DataFrame) -> DataFrame:
     """A real ISIN first; else the symbol, within the record's series if it names one. The least security_id wins."""
-    real = F.when(T.isin_shape(_key("isin"), strict=False), _key("isin"))
+    real = F.when(T.isin_shape(_key("isin")), _key("isin"))
     rows = records.withColumns({"isin_k": real, "symbol_k": _key("symbol"), "series_k": _key("series")})
     isins = master.select(_key("isin").alias("i"), "security_id").filter("i IS NOT NULL").groupBy("i").agg(F.min("security_id").alias("by_isin"))
     own = master.select(_key("symbol").alias("s"), _key("series").alias("r"), "security_id").filter("s IS NOT NULL")
@@ -53,8 +53,9 @@ def actions_to_master(records: DataFrame, master: DataFrame) -> DataFrame:
     return rows.select(*records.columns, F.coalesce(F.col("by_isin"), symbol).alias("security_id"), method.alias("match_method"))
 
 
-def news_to_master(records: DataFrame, master: DataFrame) -> DataFrame:
-    """ISIN with confidence 1.0, else symbol with 0.95, else PENDING; of securities with one key the last loaded counts."""
+def news_to_master(records: DataFrame, master: DataFrame, exchange: str = "NSE") -> DataFrame:
+    """ISIN with confidence 1.0, else symbol with 0.95, else PENDING, among the exchange's securities; of those with one key the last loaded counts."""
+    master = master.filter(F.col("exchange") == exchange)
     rows = records.withColumns({"isin_k": _key("isin"), "symbol_k": _key("symbol")})
     isins = master.select(_key("isin").alias("i"), "security_id").filter("i IS NOT NULL").groupBy("i").agg(F.max("security_id").alias("by_isin"))
     symbols = master.select(_key("symbol").alias("s"), "security_id").filter("s IS NOT NULL").groupBy("s").agg(F.max("security_id").alias("by_symbol"))
@@ -82,8 +83,12 @@ def first_isin_of_symbol(rows: DataFrame, order: str) -> DataFrame:
     return rows.filter("symbol IS NOT NULL").groupBy("symbol").agg(F.min_by(F.struct("isin"), order).alias("f")).select("symbol", "f.isin")
 
 
-def surrogate_ids(rows: DataFrame, after: int, buckets: int = 64) -> DataFrame:
-    """security_id beyond ``after`` for each row, numbered within hash buckets and by the buckets' counts, so no task holds all rows."""
+def surrogate_ids(rows: DataFrame, after: int, buckets: int | None = None) -> DataFrame:
+    """security_id beyond ``after`` for each row, numbered within hash buckets and by the buckets' counts, so no task holds all rows.
+
+    There are four buckets for each shuffle partition, so they follow the size of the job.
+    """
+    buckets = buckets or 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.withColumn("bucket_", F.pmod(F.xxhash64(*rows.columns), F.lit(buckets)))
     sizes = placed.groupBy("bucket_").agg(F.count("*").alias("n_"))
     ahead = sizes.select("bucket_", F.coalesce(F.sum("n_").over(Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead_"))
@@ -92,14 +97,27 @@ def surrogate_ids(rows: DataFrame, after: int, buckets: int = 64) -> DataFrame:
 
 
 def get_or_create(master: DataFrame, seen: DataFrame, describing: list[str]) -> DataFrame:
-    """The master after a file: known securities (by ISIN, or by symbol and series without one) take the file's
-    descriptive values, unknown ones are added with new ids."""
-    key = F.coalesce(_key("isin"), F.concat_ws("|", _key("symbol"), _key("series")))
-    new = seen.withColumn("key_", key).groupBy("key_").agg(*[F.max_by(c, F.struct("symbol", "series")).alias(c) for c in seen.columns])
-    old = master.withColumn("key_", key)
-    side = new.select("key_", *[F.col(c).alias(f"{c}__new") for c in describing], F.lit(True).alias("hit_"))
-    kept = old.join(side, "key_", "left").select(*[F.when(F.col("hit_"), F.col(f"{c}__new")).otherwise(F.col(c)).alias(c) if c in describing else F.col(c) for c in master.columns])
-    fresh = new.join(old.select("key_").distinct(), "key_", "left_anti").drop("key_")
+    """The master after a file.
+
+    A row of the file means the security of least id that has its ISIN, or that
+    has no ISIN and its symbol and series (a missing series equals a missing
+    one). That one security takes the row's descriptive values; of several rows
+    that mean it, those of the last symbol and series. Rows that mean none are
+    added with new ids, one for each ISIN, or symbol and series. A row without
+    ISIN and symbol names no security: it changes and adds nothing.
+    """
+    bare = F.when(_key("symbol").isNotNull(), F.concat_ws("|", _key("symbol"), F.coalesce(_key("series"), F.lit(""))))
+    old = master.select("security_id", _key("isin").alias("i"), bare.alias("b"))
+    isins = old.filter("i IS NOT NULL").groupBy("i").agg(F.min("security_id").alias("by_isin"))
+    bares = old.filter("i IS NULL AND b IS NOT NULL").groupBy("b").agg(F.min("security_id").alias("by_bare"))
+    rows = seen.withColumns({"isin_k": _key("isin"), "bare_k": bare})
+    rows = lookup(lookup(rows, isins, {"isin_k": "i"}), bares, {"bare_k": "b"}).withColumn("target_", F.least("by_isin", "by_bare"))
+    order = F.struct("symbol", "series")
+    new = rows.filter("target_ IS NOT NULL").groupBy("target_").agg(*[F.max_by(F.struct(c), order).alias(f"{c}__new") for c in describing])
+    side = new.select(F.col("target_").alias("security_id"), *[f"{c}__new" for c in describing], F.lit(True).alias("hit_"))
+    kept = master.join(side, "security_id", "left").select(*[F.when(F.col("hit_"), F.col(f"{c}__new")[c]).otherwise(F.col(c)).alias(c) if c in describing else F.col(c) for c in master.columns])
+    left = rows.filter("target_ IS NULL").withColumn("key_", F.coalesce("isin_k", "bare_k")).filter("key_ IS NOT NULL")
+    fresh = left.groupBy("key_").agg(*[F.max_by(F.struct(c), order).alias(c) for c in seen.columns]).select(*[F.col(c)[c].alias(c) for c in seen.columns])
     last = master.agg(F.max("security_id")).first()[0] or 0
     return kept.unionByName(surrogate_ids(fresh, last), allowMissingColumns=True)
 
@@ -145,3 +163,47 @@ def single_eligible(candidates: DataFrame) -> DataFrame:
     n = F.count_if("eligible")
     outcome = F.when(n == 1, "MATCH").when(n > 1, "MULTIPLE_ELIGIBLE").otherwise("NO_ELIGIBLE_CANDIDATE")
     return candidates.groupBy("group_id").agg(n.alias("eligible"), outcome.alias("outcome"), F.min(F.when(F.col("eligible"), F.col("security_id"))).alias("least")).select("group_id", "eligible", "outcome", F.when(F.col("outcome") == "MATCH", F.col("least")).alias("security_id"))
+
+
+#: Fields of a security that can prove an identity, in the order in which they are compared (fixed values).
+IDENTITY_FIELDS = ("isin", "symbol", "nse_symbol", "bse_symbol", "instrument_name", "nse_name", "nse_short_name", "nse_alias", "bse_name", "bse_short_name", "bse_alias", "bse_scrip_code")
+
+
+def _plain(text: Column) -> Column:
+    """Upper case, white space as single blanks, null if nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(F.upper(text.cast("string")), r"\s+", " ")), F.lit(""))
+
+
+def verified(candidates: DataFrame, master: DataFrame) -> DataFrame:
+    """Candidates of a vector search (``query_text``, ``security_id``) checked field by field; the distance proves nothing.
+
+    Adds ``verdict``, ``matched_field``, ``matched_value``, ``reason`` and
+    ``fields``, the comparison of each identity field: AGREE, DIFFER, or UNKNOWN
+    where the security or the query has no value. One field that agrees is a
+    MATCH by that field, several are a MATCH by MULTIPLE, none is a REVIEW; a
+    security that is absent or inactive is NO_CANONICAL_MATCH. Identity fields
+    that the master lacks are UNKNOWN.
+    """
+    known = [c for c in IDENTITY_FIELDS if c in master.columns]
+    side = master.filter("is_active").select("security_id", F.struct(*[F.col(c).cast("string").alias(c) for c in known]).alias("own_"))
+    rows = candidates.join(side, "security_id", "left").withColumn("asked_", _plain(F.col("query_text")))
+
+    def compared(c: str) -> Column:
+        value = F.col("own_")[c] if c in known else F.lit(None).cast("string")
+        same = _plain(value) == F.col("asked_")
+        return F.struct(F.lit(c.upper()).alias("field"), value.alias("value"), F.when(same.isNull(), "UNKNOWN").when(same, "AGREE").otherwise("DIFFER").alias("state"))
+
+    rows = rows.withColumn("fields", F.array(*map(compared, IDENTITY_FIELDS)))
+    agree = F.filter("fields", lambda x: x["state"] == "AGREE")
+    n, here = F.size(agree), F.col("own_").isNotNull()
+    verdict = F.when(~here, "NO_CANONICAL_MATCH").when(n > 0, "MATCH").otherwise("REVIEW")
+    reason = (
+        F.when(~here, "security is absent or inactive")
+        .when(n == 1, "one identity field agrees")
+        .when(n > 1, "several identity fields agree")
+        .otherwise("no identity field agrees")
+    )
+    return rows.select(
+        *candidates.columns, verdict.alias("verdict"), F.when(n > 1, "MULTIPLE").when(n == 1, F.get(agree, F.lit(0))["field"]).alias("matched_field"),
+        F.when(n > 1, F.col("query_text")).when(n == 1, F.get(agree, F.lit(0))["value"]).alias("matched_value"), reason.alias("reason"), "fields",
+    )

@@ -9,17 +9,18 @@ from ..operators import mapping, matching, upsert
 from .facades import NEWS, news, table, with_views
 from .registry import query
 
-_LISTED = """listed AS (SELECT p_partkey AS security_id, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 'INE' || LPAD(CAST(p_partkey - CASE WHEN p_partkey % 10 = 1 THEN 1 ELSE 0 END AS VARCHAR), 9, '0') END AS isin,
+_LISTED = """listed AS (SELECT p_partkey AS security_id, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 3 THEN 'INF' || LPAD(CAST(p_partkey AS VARCHAR), 9, '0') ELSE 'INE' || LPAD(CAST(p_partkey - CASE WHEN p_partkey % 10 = 1 THEN 1 ELSE 0 END AS VARCHAR), 9, '0') END AS isin,
  'SYM' || CAST(p_partkey // 2 AS VARCHAR) AS symbol, CASE p_partkey % 3 WHEN 0 THEN 'EQ' WHEN 1 THEN 'BE' ELSE 'SM' END AS series, p_name AS name,
  CASE WHEN p_partkey % 2 = 0 THEN 'NSE' ELSE 'BSE' END AS exchange, CASE p_partkey % 5 WHEN 0 THEN 'BOTH' WHEN 1 THEN 'BSE' WHEN 2 THEN NULL ELSE 'NSE' END AS exchange_tag FROM part)"""
-_RECORDS = """records AS (SELECT l_orderkey * 10 + l_linenumber AS record_id, CASE l_orderkey % 4 WHEN 0 THEN 'DUMMY' WHEN 1 THEN '' ELSE ' ine' || LPAD(CAST(l_partkey AS VARCHAR), 9, '0') END AS isin,
+_RECORDS = """records AS (SELECT l_orderkey * 10 + l_linenumber AS record_id, CASE l_orderkey % 4 WHEN 0 THEN 'DUMMY' WHEN 1 THEN '' WHEN 2 THEN ' inf' || LPAD(CAST(l_partkey AS VARCHAR), 9, '0') ELSE ' ine' || LPAD(CAST(l_partkey AS VARCHAR), 9, '0') END AS isin,
  CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE 'sym' || CAST(l_partkey // 2 AS VARCHAR) END AS symbol, CASE l_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'eq' ELSE 'BE' END AS series, l_shipdate AS seen FROM lineitem)"""
 
 
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A master in which identifiers are missing, shared and of different exchanges."""
     key = F.col("p_partkey")
-    isin = F.when(key % 7 != 0, F.concat(F.lit("INE"), F.lpad((key - F.when(key % 10 == 1, 1).otherwise(0)).cast("string"), 9, "0")))
+    isin = F.when(key % 7 == 0, None).when(key % 11 == 3, F.concat(F.lit("INF"), F.lpad(key.cast("string"), 9, "0")))
+    isin = isin.otherwise(F.concat(F.lit("INE"), F.lpad((key - F.when(key % 10 == 1, 1).otherwise(0)).cast("string"), 9, "0")))
     series = F.when(key % 3 == 0, "EQ").when(key % 3 == 1, "BE").otherwise("SM")
     tag = F.when(key % 5 == 0, "BOTH").when(key % 5 == 1, "BSE").when(key % 5 != 2, "NSE")
     return table(spark, sf_dir, "part").select(key.alias("security_id"), isin.alias("isin"), F.concat(F.lit("SYM"), F.floor(key / 2).cast("string")).alias("symbol"), series.alias("series"), F.col("p_name").alias("name"), F.when(key % 2 == 0, "NSE").otherwise("BSE").alias("exchange"), tag.alias("exchange_tag"))
@@ -28,7 +29,7 @@ def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of files with dummy, blank and lower-case identifiers."""
     order = F.col("l_orderkey")
-    isin = F.when(order % 4 == 0, "DUMMY").when(order % 4 == 1, "").otherwise(F.concat(F.lit(" ine"), F.lpad(F.col("l_partkey").cast("string"), 9, "0")))
+    isin = F.when(order % 4 == 0, "DUMMY").when(order % 4 == 1, "").otherwise(F.concat(F.when(order % 4 == 2, " inf").otherwise(" ine"), F.lpad(F.col("l_partkey").cast("string"), 9, "0")))
     symbol = F.when(order % 9 != 0, F.concat(F.lit("sym"), F.floor(F.col("l_partkey") / 2).cast("string")))
     series = F.when(order % 3 == 0, "").when(order % 3 == 1, "eq").otherwise("BE")
     return table(spark, sf_dir, "lineitem").select((order * 10 + F.col("l_linenumber")).alias("record_id"), isin.alias("isin"), symbol.alias("symbol"), series.alias("series"), F.col("l_shipdate").alias("seen"))
@@ -45,7 +46,7 @@ def isin_then_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_views(f"""SELECT record_id, COALESCE(i.id, s.id) AS security_id, CASE WHEN i.id IS NOT NULL THEN 'ISIN' WHEN s.id IS NOT NULL THEN 'SYMBOL' END AS match_method FROM records r
- LEFT JOIN {_FIRST} i ON i.k = UPPER(TRIM(r.isin)) AND REGEXP_MATCHES(UPPER(TRIM(r.isin)), '^IN[A-Z0-9]{{10}}$')
+ LEFT JOIN {_FIRST} i ON i.k = UPPER(TRIM(r.isin)) AND REGEXP_MATCHES(UPPER(TRIM(r.isin)), '^INE[A-Z0-9]{{9}}$')
  LEFT JOIN (SELECT symbol AS k, series AS x, MIN(security_id) AS id FROM listed GROUP BY 1, 2 UNION ALL SELECT symbol, '', MIN(security_id) FROM listed GROUP BY 1) s ON s.k = UPPER(r.symbol) AND s.x = UPPER(r.series)""", _LISTED, _RECORDS))
 def actions_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corporate actions: real ISIN, else symbol within the named series, the least id first."""
@@ -53,7 +54,7 @@ def actions_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_views(f"""SELECT record_id, COALESCE(i.last, s.last) AS security_id, CASE WHEN i.last IS NOT NULL THEN 1.0 WHEN s.last IS NOT NULL THEN 0.95 END AS confidence, CASE WHEN COALESCE(i.last, s.last) IS NULL THEN 'PENDING' ELSE 'MAPPED' END AS status
- FROM records r LEFT JOIN {_FIRST} i ON i.k = UPPER(TRIM(r.isin)) LEFT JOIN {_SYMBOL} s ON s.k = UPPER(TRIM(r.symbol))""", _LISTED, _RECORDS))
+ FROM records r LEFT JOIN {_FIRST.replace("WHERE", "WHERE exchange = 'NSE' AND")} i ON i.k = UPPER(TRIM(r.isin)) LEFT JOIN {_SYMBOL.replace("GROUP", "WHERE exchange = 'NSE' GROUP")} s ON s.k = UPPER(TRIM(r.symbol))""", _LISTED, _RECORDS))
 def news_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.news_to_master(records(spark, sf_dir), listed(spark, sf_dir)).select("record_id", "security_id", "confidence", "status")
 
@@ -81,21 +82,23 @@ def isin_of_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.first_isin_of_symbol(listed(spark, sf_dir), "security_id").select("symbol", F.coalesce("isin", F.lit("?")).alias("isin"))
 
 
-_SEEN = """seen AS (SELECT 'INE' || LPAD(CAST(c_custkey * 3 AS VARCHAR), 9, '0') AS isin, 'NEW' || CAST(c_custkey AS VARCHAR) AS symbol, 'EQ' AS series, c_name AS name FROM customer WHERE c_custkey % 4 <> 0
- UNION ALL SELECT NULL, 'SYM' || CAST(c_custkey AS VARCHAR), 'EQ', c_name FROM customer WHERE c_custkey % 4 = 0)"""
+_SEEN = """seen AS (SELECT 'INE' || LPAD(CAST(c_custkey * 3 AS VARCHAR), 9, '0') AS isin, 'NEW' || CAST(c_custkey AS VARCHAR) AS symbol, 'EQ' AS series, c_name AS name FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 13 <> 0
+ UNION ALL SELECT NULL, 'SYM' || CAST(c_custkey AS VARCHAR), 'EQ', c_name FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 13 <> 0
+ UNION ALL SELECT NULL, NULL, NULL, c_name FROM customer WHERE c_custkey % 13 = 0)"""
 
 
 def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
-    bare = key % 4 == 0
-    return table(spark, sf_dir, "customer").select(F.when(~bare, F.concat(F.lit("INE"), F.lpad((key * 3).cast("string"), 9, "0"))).alias("isin"), F.concat(F.when(bare, "SYM").otherwise("NEW"), key.cast("string")).alias("symbol"), F.lit("EQ").alias("series"), F.col("c_name").alias("name"))
+    bare, named = key % 4 == 0, key % 13 != 0
+    return table(spark, sf_dir, "customer").select(F.when(~bare & named, F.concat(F.lit("INE"), F.lpad((key * 3).cast("string"), 9, "0"))).alias("isin"), F.when(named, F.concat(F.when(bare, "SYM").otherwise("NEW"), key.cast("string"))).alias("symbol"), F.when(named, "EQ").alias("series"), F.col("c_name").alias("name"))
 
 
-@query(with_views("""SELECT COALESCE(isin, symbol || '|' || series) AS identity, name, is_new FROM (
- SELECT l.isin, l.symbol, l.series, CASE WHEN s.k IS NOT NULL THEN s.name ELSE l.name END AS name, FALSE AS is_new FROM listed l LEFT JOIN (SELECT COALESCE(isin, symbol || '|' || series) AS k, name FROM seen) s ON s.k = COALESCE(l.isin, l.symbol || '|' || l.series)
- UNION ALL SELECT isin, symbol, series, name, TRUE FROM seen WHERE COALESCE(isin, symbol || '|' || series) NOT IN (SELECT COALESCE(isin, symbol || '|' || series) FROM listed)) x""", _LISTED, _SEEN))
+@query(with_views("""SELECT COALESCE(l.isin, l.symbol || '|' || l.series) AS identity, COALESCE(h.name, l.name) AS name, FALSE AS is_new FROM listed l LEFT JOIN (SELECT id, ARG_MAX(name, symbol || '|' || series) AS name FROM hit GROUP BY id) h ON h.id = l.security_id
+ UNION ALL SELECT COALESCE(isin, symbol || '|' || series), ARG_MAX(name, symbol || '|' || series), TRUE FROM hit WHERE id IS NULL AND COALESCE(isin, symbol) IS NOT NULL GROUP BY 1""", _LISTED, _SEEN, """hit AS (SELECT s.*, LEAST(a.id, b.id) AS id FROM seen s
+ LEFT JOIN (SELECT isin, MIN(security_id) AS id FROM listed WHERE isin IS NOT NULL GROUP BY 1) a ON a.isin = s.isin
+ LEFT JOIN (SELECT symbol, series, MIN(security_id) AS id FROM listed WHERE isin IS NULL GROUP BY 1, 2) b ON b.symbol = s.symbol AND b.series = s.series)"""))
 def master_after_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Get or create by ISIN, or by symbol and series: known securities take the file's name, others get new ids."""
+    """Get or create by ISIN, or by symbol and series: the known security of least id takes the file's name, others get new ids."""
     own = listed(spark, sf_dir)
     last = own.agg(F.max("security_id")).first()[0] or 0
     rows = matching.get_or_create(own, seen(spark, sf_dir), ["name"])
@@ -194,3 +197,23 @@ def mapping_by_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped = mapping.cascade(mapping.event_keys(events), mapping.exchange_keys(securities, aliases))
     none = events.select("news_id").join(mapped.select("news_id"), "news_id", "left_anti")
     return mapped.unionByName(none.withColumn("status", F.lit("PENDING")), allowMissingColumns=True)
+
+
+_ASKED = """asked AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS security_id, CASE l_orderkey % 5 WHEN 0 THEN LOWER(m.isin) WHEN 1 THEN '  ' || m.symbol || ' ' WHEN 2 THEN REPLACE(m.instrument_name, ' ', '  ') WHEN 3 THEN m.bse_scrip_code ELSE 'nobody' END AS query_text
+ FROM lineitem LEFT JOIN identities m ON m.security_id = l_partkey)"""
+_IDENTITIES = """identities AS (SELECT security_id, isin, symbol, CASE WHEN security_id % 4 = 0 THEN symbol END AS nse_symbol, name AS instrument_name, CASE WHEN security_id % 3 = 0 THEN name END AS bse_name, CAST(500000 + security_id AS VARCHAR) AS bse_scrip_code, security_id % 17 > 0 AS is_active FROM listed)"""
+
+
+@query(with_views("""SELECT id, CASE WHEN same IS NULL THEN 'NO_CANONICAL_MATCH' WHEN n > 0 THEN 'MATCH' ELSE 'REVIEW' END AS verdict,
+ CASE WHEN n > 1 THEN 'MULTIPLE' WHEN n = 1 THEN ['ISIN', 'SYMBOL', 'NSE_SYMBOL', 'INSTRUMENT_NAME', 'BSE_NAME', 'BSE_SCRIP_CODE'][LIST_POSITION(same, TRUE)] END AS matched_field, COALESCE(12 - LEN(LIST_FILTER(same, LAMBDA x: x IS NOT NULL)), 12) AS unknown
+ FROM (SELECT id, same, LEN(LIST_FILTER(same, LAMBDA x: x)) AS n FROM (SELECT a.id, CASE WHEN m.security_id IS NOT NULL THEN [UPPER(v) = UPPER(TRIM(REGEXP_REPLACE(a.query_text, ' +', ' ', 'g'))) FOR v IN [m.isin, m.symbol, m.nse_symbol, m.instrument_name, m.bse_name, m.bse_scrip_code]] END AS same
+ FROM asked a LEFT JOIN identities m ON m.security_id = a.security_id AND m.is_active) q) r""", _LISTED, _IDENTITIES, _ASKED))
+def candidates_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of a search checked over twelve identity fields: the verdict, the field that proves it and how many could not be compared."""
+    key = F.col("security_id")
+    own = listed(spark, sf_dir).select(key, "isin", "symbol", F.when(key % 4 == 0, F.col("symbol")).alias("nse_symbol"), F.col("name").alias("instrument_name"), F.when(key % 3 == 0, F.col("name")).alias("bse_name"), (key + 500000).cast("string").alias("bse_scrip_code"), (key % 17 > 0).alias("is_active"))
+    order = F.col("l_orderkey")
+    text = F.when(order % 5 == 0, F.lower("isin")).when(order % 5 == 1, F.concat(F.lit("  "), "symbol", F.lit(" "))).when(order % 5 == 2, F.replace("instrument_name", F.lit(" "), F.lit("  "))).when(order % 5 == 3, F.col("bse_scrip_code")).otherwise("nobody")
+    asked = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "security_id").join(own, "security_id", "left").select((order * 10 + F.col("l_linenumber")).alias("id"), "security_id", text.alias("query_text"))
+    rows = matching.verified(asked, own)
+    return rows.select("id", "verdict", "matched_field", F.size(F.filter("fields", lambda x: x["state"] == "UNKNOWN")).cast("long").alias("unknown"))

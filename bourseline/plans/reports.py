@@ -195,6 +195,22 @@ def merged_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("news_id"), F.to_json(F.struct(kept["a"].alias("a"), F.coalesce(new["b"], kept["b"]).alias("b"), new["c"].alias("c"))).alias("merged"))
 
 
+_OBJECTS = """objects AS (SELECT o_orderkey AS news_id, CASE WHEN o_orderkey % 5 > 0 THEN '{"' || o_orderstatus || '":' || o_custkey || ',"kept":{"in":[1,null,"x"]},"both":"old"}' END AS old,
+ CASE WHEN o_orderkey % 7 > 0 THEN '{"' || CASE WHEN o_orderkey % 3 = 0 THEN 'O' ELSE LEFT(o_orderpriority, 1) END || '":"' || o_orderpriority || '","both":' || CASE WHEN o_orderkey % 2 = 0 THEN 'null' ELSE '{"deep":true}' END || '}' END AS new FROM orders)"""
+
+
+@query(with_views("""SELECT news_id, k AS field, ARG_MAX(v, side) AS value FROM (SELECT news_id, 0 AS side, UNNEST(JSON_KEYS(old)) AS k, UNNEST([CAST(JSON_EXTRACT(old, '$."' || f || '"') AS VARCHAR) FOR f IN JSON_KEYS(old)]) AS v FROM objects
+ UNION ALL SELECT news_id, 1, UNNEST(JSON_KEYS(new)), UNNEST([CAST(JSON_EXTRACT(new, '$."' || f || '"') AS VARCHAR) FOR f IN JSON_KEYS(new)]) FROM objects) x GROUP BY 1, 2""", _OBJECTS))
+def merged_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence and feedback merged: objects whose fields differ by row, null and nested values among them; one row a field."""
+    key, text = F.col("o_orderkey"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    old = F.when(key % 5 > 0, text('{"', F.col("o_orderstatus"), '":', F.col("o_custkey"), ',"kept":{"in":[1,null,"x"]},"both":"old"}'))
+    name = F.when(key % 3 == 0, "O").otherwise(F.left("o_orderpriority", F.lit(1)))
+    new = F.when(key % 7 > 0, text('{"', name, '":"', F.col("o_orderpriority"), '","both":', F.when(key % 2 == 0, "null").otherwise('{"deep":true}'), "}"))
+    rows = table(spark, sf_dir, "orders").select(key.alias("news_id"), F.explode(T.json_merged(old, new)).alias("field", "value"))
+    return rows.select("news_id", "field", F.to_json("value").alias("value"))
+
+
 @query("""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'MUTUAL_FUND' WHEN 1 THEN 'MUTUAL_FUND' WHEN 2 THEN 'ETF' WHEN 3 THEN 'BOND' ELSE 'OTHER' END AS asset,
  CASE p_partkey % 6 WHEN 0 THEN 'ISSUER_NAME' WHEN 4 THEN 'HISTORICAL_SYMBOL' WHEN 5 THEN 'SPECIFIC_INSTRUMENT' ELSE 'COMPANY_NAME' END AS identity FROM part""")
 def news_assets(spark: SparkSession, sf_dir: str) -> DataFrame:

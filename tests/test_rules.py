@@ -1,5 +1,6 @@
 """Boundary cases of column rules and operators."""
 
+import json
 import zipfile
 from datetime import datetime
 from difflib import SequenceMatcher
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bourseline.functions import market as M
 from bourseline.functions import text as T
-from bourseline.operators import asof, learning, mapping, series, upsert
+from bourseline.operators import asof, learning, mapping, matching, series, upsert
 from bourseline.sources import files
 from bourseline.streaming import feed
 
@@ -258,3 +259,43 @@ def test_reports_and_trends_are_written_and_read(spark, tmp_path):
     (tmp_path / "att" / "z").write_bytes(b"other")
     assert sorted(r["files"] for r in files.read_attachments(spark, f"file://{tmp_path}/att").collect()) == [1, 2]
     assert upsert.run_record(spark, "r1", {"built": 3, "failed": 0}, "SUCCESS").first().asDict() == {"run_id": "r1", "status": "SUCCESS", "built": 3, "failed": 0}
+
+
+MASTER = "security_id long, isin string, symbol string, series string, name string, exchange string"
+
+
+def test_get_or_create_changes_one_security_and_never_those_without_identity(spark):
+    master = spark.createDataFrame([(1, "INE000000001", "A", "EQ", "one", "NSE"), (2, "INE000000001", "B", "EQ", "two", "NSE"), (3, None, None, None, "noid", "NSE"), (4, "", "C", None, "bare", "NSE"), (5, "INE000000005", "D", "EQ", "five", "NSE")], MASTER)
+    seen = spark.createDataFrame([("INE000000001", "A", "EQ", "new"), (None, None, None, "ghost"), ("", " c ", "", "bare again"), (None, "D", "EQ", "other"), ("INE000000009", "Z", "EQ", "fresh"), ("INE000000009", "Z", "EQ", "fresh")], "isin string, symbol string, series string, name string")
+    rows = matching.get_or_create(master, seen, ["name"]).collect()
+    assert {r["security_id"]: r["name"] for r in rows if r["security_id"] <= 5} == {1: "new", 2: "two", 3: "noid", 4: "bare again", 5: "five"}
+    assert sorted((r["name"], r["isin"]) for r in rows if r["security_id"] > 5) == [("fresh", "INE000000009"), ("other", None)]
+    assert matching.get_or_create(master.filter("false"), seen.filter("false"), ["name"]).count() == 0
+
+
+def test_only_real_isins_of_the_own_exchange_decide(spark):
+    master = spark.createDataFrame([(1, "INF000000001", "A", "EQ", "fund", "NSE"), (2, "INE000000002", "B", "EQ", "share", "BSE"), (3, None, "C", "EQ", "c", "NSE")], MASTER)
+    records = spark.createDataFrame([(1, "INF000000001", "C", ""), (2, "INE000000002", None, None), (3, "INF000000001", None, None)], "id long, isin string, symbol string, series string")
+    assert {r["id"]: r["security_id"] for r in matching.actions_to_master(records, master).collect()} == {1: 3, 2: 2, 3: None}
+    assert {r["id"]: (r["security_id"], r["status"]) for r in matching.news_to_master(records, master).collect()} == {1: (1, "MAPPED"), 2: (None, "PENDING"), 3: (1, "MAPPED")}
+    assert matching.news_to_master(records, master, "BSE").filter("security_id = 2").count() == 1
+
+
+def test_backward_returns_are_features():
+    assert learning.checked_features(["backward_return_1d", "backward_return_5d"]) == ["backward_return_1d", "backward_return_5d"]
+    for leak in ("forward_return_1d", "direction_3d", "has_1d_label", "news_id", "prediction_eligible"):
+        with pytest.raises(ValueError):
+            learning.checked_features(["x", leak])
+
+
+def test_verification_compares_every_field(spark):
+    master = spark.createDataFrame([(1, "INE1", "A", "Acme  Ltd", "ACME LTD", True), (2, "INE2", "B", None, None, True), (3, "INE3", "C", "Gone", None, False)], "security_id long, isin string, symbol string, instrument_name string, nse_name string, is_active boolean")
+    asked = spark.createDataFrame([(1, " acme ltd "), (1, "ine1"), (2, "acme"), (3, "Gone"), (9, "x"), (1, None), (2, "")], "security_id long, query_text string")
+    got = sorted((r["security_id"], r["query_text"] or "", r["verdict"], r["matched_field"], sum(f["state"] == "UNKNOWN" for f in r["fields"])) for r in matching.verified(asked, master).collect())
+    assert got == sorted([(1, " acme ltd ", "MATCH", "MULTIPLE", 8), (1, "ine1", "MATCH", "ISIN", 8), (2, "acme", "REVIEW", None, 10), (3, "Gone", "NO_CANONICAL_MATCH", None, 12), (9, "x", "NO_CANONICAL_MATCH", None, 12), (1, "", "REVIEW", None, 12), (2, "", "REVIEW", None, 12)])
+
+
+def test_json_objects_are_merged_whole(spark):
+    rows = spark.createDataFrame([(1, '{"a":1,"b":{"c":null},"d":null}', '{"b":[1,"x"],"e":true}'), (2, None, '{"a":null}'), (3, "no json", "[1]"), (4, '{"a":"kept"}', "")], "id long, old string, new string")
+    got = {r["id"]: json.loads(r["m"]) for r in rows.select("id", F.to_json(T.json_merged(F.col("old"), F.col("new"))).alias("m")).collect()}
+    assert got == {1: {"a": 1, "b": [1, "x"], "d": None, "e": True}, 2: {"a": None}, 3: {}, 4: {"a": "kept"}}
