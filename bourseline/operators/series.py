@@ -128,3 +128,20 @@ def session_features(bars: DataFrame) -> DataFrame:
     rows = rows.withColumns({"high_20d": near(F.max, "close", 20), "low_20d": near(F.min, "close", 20), "price_trend_20d": trend("close"), "volume_trend_20d": trend("volume"), "closes_20": F.collect_list("close").over(_frame(-19, 0))})
     rows = rows.withColumns({f"backward_return_{n}d": change_rate(F.col("close"), F.lag("close", n).over(order)) for n in (1, 5, 10)} | {f"forward_return_{n}d": change_rate(F.lead("close", n).over(order), F.col("close")) for n in (1, 3, 5, 10)})
     return rows.withColumns({"distance_from_high_20d": change_rate(F.col("close"), F.col("high_20d")), "distance_from_low_20d": change_rate(F.col("close"), F.col("low_20d")), "max_drawdown_20d": drawdown(F.col("closes_20"))}).drop("closes_20")
+
+
+def missing_windows(covered: DataFrame, keys: DataFrame, key: str, day: str, start: str, end: str, days: int = 7) -> DataFrame:
+    """``key``, window_start, window_end: the windows of at most ``days`` days that a backfill has to ask for.
+
+    Each run of days from ``start`` to ``end`` (both included) without a covered
+    day is cut into windows from its first day on. A key without any covered day
+    asks for the whole span. Days repeat at will; null days and keys cover nothing.
+    """
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    known = covered.filter(F.col(day).cast("date").between(first, last) & F.col(key).isNotNull()).select(key, F.col(day).cast("date").alias("day_")).distinct()
+    edges = keys.filter(F.col(key).isNotNull()).select(key).distinct().select(key, F.explode(F.array(F.date_sub(first, 1), F.date_add(last, 1))).alias("day_"))
+    ahead = F.lead("day_").over(Window.partitionBy(key).orderBy("day_"))
+    gaps = known.join(edges.select(key).distinct(), key, "left_semi").unionByName(edges).withColumn("next_", ahead).filter(F.datediff("next_", "day_") > 1)
+    number = F.explode(F.sequence(F.lit(0), F.floor((F.datediff("next_", "day_") - 2) / days).cast("int")))
+    cut = gaps.select(key, "next_", "day_", number.alias("i_")).select(key, "next_", F.date_add("day_", 1 + F.col("i_") * days).alias("window_start"))
+    return cut.select(key, "window_start", F.least(F.date_add("window_start", days - 1), F.date_sub("next_", 1)).alias("window_end"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import market as M
 from ..operators import asof, series
-from .facades import BARS, NEWS, bars, news, quantized, with_views
+from .facades import BARS, NEWS, bars, news, quantized, table, with_views
 from .registry import query
 
 _CUT = """cut AS (SELECT *, CAST(published_at AS DATE) - CASE WHEN CAST(published_at AS TIME) > TIME '15:30:00' THEN 0 ELSE 1 END AS cutoff FROM news)"""
@@ -147,3 +147,13 @@ def event_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("base_date").isNull(), "NO_BASE_PRICE").when(F.col("c5").isNull(), "INSUFFICIENT_FUTURE_DATA").otherwise("CALCULATED")
     percent = lambda c: quantized(M.change_rate(F.col(c), F.col("close")) * 100)
     return rows.select("news_id", "base_date", percent("c1").alias("return_1d"), percent("c5").alias("return_5d"), quantized(M.ratio(F.col("v1"), F.col("v20"))).alias("volume_ratio"), status.alias("status"))
+
+
+@query(with_views("""SELECT security_id, MIN(day) AS window_start, MAX(day) AS window_end FROM (SELECT *, (ROW_NUMBER() OVER (PARTITION BY security_id, run ORDER BY day) - 1) // 7 AS w FROM (
+ SELECT security_id, day, day - CAST(ROW_NUMBER() OVER (PARTITION BY security_id ORDER BY day) AS INTEGER) AS run FROM (SELECT s_suppkey AS security_id, CAST(UNNEST(GENERATE_SERIES(TIMESTAMP '1993-01-01', TIMESTAMP '1997-12-31', INTERVAL '1' DAY)) AS DATE) AS day FROM supplier) d
+ WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.security_id = d.security_id AND b.trade_date = d.day)) o) x GROUP BY security_id, run, w""", BARS))
+def backfill_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of up to seven days in which a security has no session, for the backfill to ask for."""
+    known = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("security_id"), F.col("l_shipdate").alias("day"))
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("security_id"))
+    return series.missing_windows(known, keys, "security_id", "day", "1993-01-01", "1997-12-31")

@@ -299,3 +299,15 @@ def test_json_objects_are_merged_whole(spark):
     rows = spark.createDataFrame([(1, '{"a":1,"b":{"c":null},"d":null}', '{"b":[1,"x"],"e":true}'), (2, None, '{"a":null}'), (3, "no json", "[1]"), (4, '{"a":"kept"}', "")], "id long, old string, new string")
     got = {r["id"]: json.loads(r["m"]) for r in rows.select("id", F.to_json(T.json_merged(F.col("old"), F.col("new"))).alias("m")).collect()}
     assert got == {1: {"a": 1, "b": [1, "x"], "d": None, "e": True}, 2: {"a": None}, 3: {}, 4: {"a": "kept"}}
+
+
+def test_only_missing_days_are_asked_for(spark):
+    covered = spark.sql("SELECT * FROM VALUES ('a', DATE'2025-01-03'), ('a', DATE'2025-01-03'), ('a', DATE'2025-01-04'), ('a', DATE'2025-01-20'), ('a', NULL), (NULL, DATE'2025-01-01'), ('z', DATE'2025-01-01') AS t(k, d)")
+    keys = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "k string")
+    got = sorted((r["k"], r["window_start"].day, r["window_end"].day) for r in series.missing_windows(covered, keys, "k", "d", "2025-01-01", "2025-01-20").collect())
+    assert got == [("a", 1, 2), ("a", 5, 11), ("a", 12, 18), ("a", 19, 19), ("b", 1, 7), ("b", 8, 14), ("b", 15, 20)]
+    assert series.missing_windows(covered, keys.filter("false"), "k", "d", "2025-01-01", "2025-01-20").count() == 0
+
+
+def test_stop_words_are_no_tokens(spark):
+    assert one(spark, T.tokens(F.lit("ACME PUB PLC CORPORATION OF INDIA"))) == ["ACME"]
