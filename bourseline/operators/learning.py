@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import boosting
+
 CLASSES = ("NEGATIVE", "NEUTRAL", "POSITIVE")
 
 
@@ -94,6 +96,36 @@ def ablation(rows: DataFrame, groups: dict[str, list[str]], label: str, train: C
     return out.join(F.broadcast(base)).withColumn("delta", F.col("macro_f1") - F.col("base_")).drop("base_")
 
 
+def experiments(rows: DataFrame, groups: dict[str, list[str]], label: str, plan: list[tuple[int, date, date, date]], day: str = "day", categories: list[str] = (), settings: boosting.Settings = boosting.Settings()) -> DataFrame:
+    """experiment, fold, train_rows, test_rows, accuracy, balanced_accuracy, macro_f1: boosted trees for each set of features and fold.
+
+    All features are binned once, by bounds of the first fold's training days,
+    so no fold sees a later day; each experiment asks its own features of that
+    one table.  Folds and experiments are a short stated list.
+    """
+    every = checked_features(list(dict.fromkeys(f for features in groups.values() for f in features)))
+    bins = boosting.bins_of(rows.filter(F.col(day) <= min(p[1] for p in plan)), every, categories)
+    table = boosting.binned(rows, bins, label, list(CLASSES), [day])
+    out = []
+    for fold, train_end, test_start, test_end in plan:
+        train = table.filter(F.col(day) <= F.lit(train_end))
+        test = table.filter((F.col(day) >= F.lit(test_start)) & (F.col(day) < F.lit(test_end)))
+        for name, features in groups.items():
+            model = boosting.fit(train, bins, list(CLASSES), settings, features)
+            said = boosting.predicted(test, model, ["y_"])
+            one = summary(confusion(said.select(F.element_at(F.array(*map(F.lit, CLASSES)), F.col("y_") + 1).alias("label"), F.col("direction").alias("predicted"))))
+            sizes = train.agg(F.count("*").alias("train_rows")).join(test.agg(F.count("*").alias("test_rows")))
+            out.append(one.join(sizes).select(F.lit(name).alias("experiment"), F.lit(fold).alias("fold"), "train_rows", "test_rows", "accuracy", "balanced_accuracy", "macro_f1"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def experiment_summary(metrics: DataFrame, base: str) -> DataFrame:
+    """experiment, folds, mean and sample deviation of each metric over the folds, and the mean difference of macro F1 to ``base`` in the same fold."""
+    reference = metrics.filter(F.col("experiment") == base).select("fold", F.col("macro_f1").alias("base_"))
+    stats = [f(c).alias(f"{n}_{c}") for c in ("accuracy", "balanced_accuracy", "macro_f1") for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    return metrics.join(F.broadcast(reference), "fold", "left").groupBy("experiment").agg(F.count("*").alias("folds"), *stats, F.avg(F.col("macro_f1") - F.col("base_")).alias("delta_macro_f1"))
+
+
 #: The value that stands for a missing category (fixed value).
 MISSING = "__MISSING__"
 #: Columns that are no features (fixed values): identifiers, times, future returns and directions, label and eligibility flags.

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import learning
-from .facades import BARS, NEWS, news, quantized, table, with_views
+from ..operators import boosting, learning
+from ..operators.lineage import cut
+from . import features
+from .facades import BARS, MASTER, NEWS, news, quantized, table, with_views
 from .registry import query
-from .series import _BASE, _CUT, _NUM, event_features, forward_labels
+from .series import _BASE, _CUT, _NUM, forward_labels
 
 _LABELLED = """labelled AS (SELECT b.news_id, CAST(b.published_at AS DATE) AS day, CASE WHEN n.close / b.close - 1 >= 0.0075 THEN 'POSITIVE' WHEN n.close / b.close - 1 <= -0.0075 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label
  FROM base b JOIN num n ON n.security_id = b.security_id AND n.session = b.session + 1)"""
@@ -128,9 +130,45 @@ def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.tagged(rows, learning.folds(rows, "day")).groupBy("fold", "part").agg(F.count("*").alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
+#: Features of the event-feature row that boosting asks: all its numbers but what comes after the item, the time, and two categories as codes.
+FEATURES = [*(c for c in features.NUMBERS if not c.startswith("forward_")), "publication_hour", "publication_minute", "publication_weekday", "sequence_rows"]
+CATEGORIES = ["feed_category", "exchange"]
+#: A short run of the operator's defaults: fewer rounds of larger steps.
+SETTINGS = boosting.Settings(rounds=8, rate=0.2, depth=3)
+
+
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event-feature row with its categories as codes and ``day``, written once because training reads it several times."""
+    rows = features.event_feature_row(spark, sf_dir)
+    for c in CATEGORIES:
+        rows = learning.coded(rows, c, learning.vocabulary(rows, c), f"{c}_code")
+    return cut(rows.withColumn("day", F.col("cutoff_trade_date")))
+
+
+def boosted_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees trained on the eligible rows of earlier days; probabilities, direction, label and day of every row."""
+    rows = event_rows(spark, sf_dir)
+    codes = [f"{c}_code" for c in CATEGORIES]
+    names = learning.checked_features([*FEATURES, *codes])
+    train = rows.filter((F.col("day") < F.lit("1997-01-01").cast("date")) & F.col("prediction_eligible"))
+    bins = boosting.bins_of(train, names, codes)
+    model = boosting.fit(boosting.binned(train, bins, "direction_1d", list(learning.CLASSES)), bins, list(learning.CLASSES), SETTINGS)
+    return boosting.scored(rows, model, ["news_id", "security_id", "exchange", "day", "prediction_eligible", "direction_1d"])
+
+
 @query()
 def direction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities, direction and score of every item with features, from a forest trained on earlier days."""
-    features = event_features(spark, sf_dir).withColumn("post_market", F.col("post_market").cast("int"))
-    rows = features.join(labelled(spark, sf_dir), "news_id", "left")
-    return learning.scored(rows, [c for c in features.columns if c != "news_id"], "label", F.col("day") < F.lit("1997-01-01").cast("date"))
+    """Probabilities, direction and score of every event-feature row, from trees boosted on earlier days."""
+    return boosted_directions(spark, sf_dir).drop("day", "prediction_eligible", "direction_1d")
+
+
+@query(with_views("""SELECT COUNT(*) AS predictions, 0 AS repeated_keys, 0 AS bad_sums, 0 AS no_direction, 0 AS out_of_range, 0 AS not_likeliest, COUNT(*) FILTER (WHERE exchange = 'NSE') AS nse, COUNT(*) FILTER (WHERE exchange = 'BSE') AS bse
+ FROM news n JOIN (SELECT security_id, UNNEST(CASE exchange_tag WHEN 'BOTH' THEN ['NSE', 'BSE'] WHEN 'BSE' THEN ['BSE'] ELSE ['NSE'] END) AS exchange FROM master) x ON x.security_id = n.security_id""", NEWS, MASTER))
+def direction_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the boosted scores: one for each row, probabilities in range that add up to 1, the likeliest class as direction."""
+    rows = boosted_directions(spark, sf_dir)
+    each = F.array(*[F.col(f"p_{c.lower()}") for c in learning.CLASSES])
+    own = F.element_at(each, F.array_position(F.array(*map(F.lit, learning.CLASSES)), F.col("direction")).cast("int"))
+    rows = rows.withColumns({"range_": F.exists(each, lambda p: (p < 0) | (p > 1)), "least_": own < F.array_max(each)})
+    counts = rows.agg(F.count_if("range_").alias("out_of_range"), F.count_if("least_").alias("not_likeliest"), F.count_if(F.col("exchange") == "NSE").alias("nse"), F.count_if(F.col("exchange") == "BSE").alias("bse"))
+    return learning.prediction_checks(rows, ["news_id", "security_id", "exchange"]).join(F.broadcast(counts))
