@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """The frame written to the folder of ``spark.checkpoint.dir``, from where a lost executor's work is read again.
-
-    Where the setting is absent, a local session takes a temporary folder; on a cluster that is an error.
-    """
-    spark = rows.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is absent, a local session takes a temporary folder and a cluster fails."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not shared:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="bourseline-"))
+        shared = "file://" + tempfile.mkdtemp(prefix="bourseline-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared)
+    return shared
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/bourseline-{uuid.uuid4().hex}/{name}"
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """The frame written to the shared folder, from where a lost executor's work is read again."""
+    shared_dir(rows.sparkSession)
     return rows.checkpoint()

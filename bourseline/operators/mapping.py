@@ -105,13 +105,66 @@ def shared_tokens(left: DataFrame, right: DataFrame, key: str, other: str, k: in
     return scores.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select(key, other, "shared")
 
 
+def _gram_bag(name: Column) -> Column:
+    """Pairs of neighbouring letters, each with the number of its occurrence; a name of one letter is its own pair."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(name, i, F.lit(2)))
+    numbered = lambda a: F.transform(a, lambda g, i: F.concat(g, F.size(F.filter(F.slice(a, 1, i + 1), lambda x: x == g)).cast("string")))
+    return F.when(F.length(name) == 1, F.array(name)).otherwise(numbered(pairs))
+
+
+def _shared_letters(a: Column, b: Column) -> Column:
+    """How many letters two names have in common, counted with repetition."""
+    letters = lambda c: F.split(c, "")
+    times = lambda c, x: F.length(c) - F.length(F.replace(c, x, F.lit("")))
+    return F.aggregate(F.array_distinct(letters(a)), F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x)))
+
+
 def similar_names(left: DataFrame, right: DataFrame, least: float = 0.85, k: int = 5) -> DataFrame:
-    """The k names of the same exchange whose sequence ratio reaches ``least``; only names that share a token are compared."""
-    index = lambda rows, n: rows.select(F.col("exchange"), F.col("id").alias(n), F.col("name").alias(f"{n}_name"), F.explode(T.tokens(F.col("name"))).alias("token"))
-    met = index(left, "event_id").join(index(right, "security_id"), ["exchange", "token"]).select("event_id", "event_id_name", "security_id", "security_id_name").distinct()
-    scored = met.withColumn("score", F.floor(T.sequence_ratio("event_id_name", "security_id_name") * 1e4 + 0.5) / 1e4).filter(F.col("score") >= least)
-    best = Window.partitionBy("event_id").orderBy(F.desc("score"), "security_id")
-    return scored.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("event_id", "security_id", "score")
+    """event_id, security_id, score: the k names of the same exchange with the greatest sequence ratio of ``least`` (0.85 or more) or over.
+
+    No pair is lost.  A ratio 2 M / T asks for M = least * T / 2 letters in
+    common and in order.  Of two names of n and m letters, each letter without
+    a partner breaks at most two pairs of neighbours of its own name and one
+    of the other, so 3 M - n - m - 1 such pairs are shared, and two sets that
+    share so many meet among their rarest pairs.  Names join on exchange,
+    length and those rare pairs only, common ones never become a key; then
+    the letters are counted, and the ratio is computed for what is left.
+
+    Equal names count once: a name of many rows is compared once and joined
+    back.  Rows without an exchange or name (null or empty) meet nobody; the
+    ratio decides before it is rounded, ties go to the lower id.
+    """
+    if not 0.85 <= least <= 1:
+        raise ValueError(f"the bound holds from 0.85 to 1: {least}")
+    names = lambda rows: rows.filter("exchange IS NOT NULL AND name <> ''").select("exchange", "name").distinct()
+    a, b = names(left), names(right)
+    counts = a.unionByName(b).select(F.explode(_gram_bag(F.col("name"))).alias("g")).groupBy("g").agg(F.count("*").alias("c"))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        each = rows.select("exchange", "name", F.explode(_gram_bag(F.col("name"))).alias("g")).join(counts, "g")
+        return each.groupBy("exchange", "name").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("bag")).withColumn("n", F.length("name"))
+
+    common = lambda n, m: F.ceil((n + m) * (least / 2) - 1e-9)
+    needed = lambda n, m: F.greatest(3 * common(n, m) - n - m - 1, F.lit(1))
+    shortest, longest = (lambda n: F.ceil(n * (least / (2 - least)) - 1e-9)), (lambda n: F.floor(n * ((2 - least) / least) + 1e-9))
+    head = lambda bag, need: F.slice(bag, 1, F.greatest(F.size(bag) - need + 1, F.lit(0)).cast("int"))
+    lengths = F.sequence(shortest(F.col("n")), longest(F.col("n")))
+    keys_a = ranked(a).withColumn("m", F.explode(lengths)).select("exchange", "m", F.col("name").alias("a_"), F.size("bag").alias("size_a"), needed(F.col("n"), F.col("m")).alias("need"), F.posexplode(head(F.col("bag"), needed(F.col("n"), F.col("m")))).alias("at_a", "x"))
+    # a name of m letters keeps what the partner of fewest shared pairs asks for
+    fewest = F.array_min(F.transform(F.sequence(shortest(F.col("n")), longest(F.col("n"))), lambda m: needed(F.col("n"), m)))
+    keys_b = ranked(b).select("exchange", F.col("n").cast("long").alias("m"), F.col("name").alias("b_"), F.size("bag").alias("size_b"), F.posexplode(head(F.col("bag"), fewest)).alias("at_b", "x"))
+    met = keys_a.withColumn("g", F.col("x.g")).drop("x").join(keys_b.withColumn("g", F.col("x.g")).drop("x"), ["exchange", "m", "g"])
+    met = met.filter(F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= F.col("need")).select("exchange", "a_", "b_").distinct()
+    near = met.filter(_shared_letters(F.col("a_"), F.col("b_")) >= common(F.length("a_"), F.length("b_")))
+    near = near.withColumn("raw", T.sequence_ratio("a_", "b_")).filter(F.col("raw") >= least)
+    # of the securities that share a name only the k of least id can be among the best
+    order = Window.partitionBy("exchange", "name").orderBy("id")
+    owners = right.select("exchange", "name", "id").distinct().withColumn("r_", F.row_number().over(order)).filter(F.col("r_") <= k).select("exchange", F.col("name").alias("b_"), F.col("id").alias("security_id"))
+    scores = near.join(owners, ["exchange", "b_"]).groupBy("exchange", "a_", "security_id").agg(F.max("raw").alias("raw"))
+    best = Window.partitionBy("exchange", "a_").orderBy(F.desc("raw"), "security_id")
+    kept = scores.withColumn("r_", F.row_number().over(best)).filter(F.col("r_") <= k).drop("r_")
+    events = left.select("exchange", F.col("name").alias("a_"), F.col("id").alias("event_id"))
+    return events.join(kept, ["exchange", "a_"]).select("event_id", "security_id", (F.floor(F.col("raw") * 1e4 + 0.5) / 1e4).alias("score"))
 
 
 def evidence_gate(event_isin: str, isin: str, event_symbol: str, symbol: str, event_exchange: str, exchange: str, similarity: str) -> tuple[Column, Column]:

@@ -217,3 +217,13 @@ def candidates_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "security_id").join(own, "security_id", "left").select((order * 10 + F.col("l_linenumber")).alias("id"), "security_id", text.alias("query_text"))
     rows = matching.verified(asked, own)
     return rows.select("id", "verdict", "matched_field", F.size(F.filter("fields", lambda x: x["state"] == "UNKNOWN")).cast("long").alias("unknown"))
+
+
+@query()
+def similar_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar names of every part's name with a letter lost, among all names of its exchange."""
+    name = F.upper(F.concat_ws(" ", "p_name", "p_type", "p_brand"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, "NSE").otherwise("BSE").alias("exchange"), name.alias("name"))
+    at = (F.col("id") % F.length("name")).cast("int")
+    lost = rows.withColumn("name", F.concat(F.substring("name", F.lit(1), at), F.substring("name", at + 2, F.length("name"))))
+    return mapping.similar_names(lost, rows)
