@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
-from bourseline.operators import reviews
+from bourseline.operators import mapping, reviews
 from bourseline.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -31,3 +31,27 @@ def test_feedback_without_a_news_item_contradicts_nothing(spark, tmp_path):
     asked = spark.createDataFrame([(1, 1, None), (2, 2, 20), (3, 1, 11)], "request_id long, prediction_id long, news_id long")
     good, refused = reviews.checked_feedback(parents, asked)
     assert sorted(r["request_id"] for r in good.collect()) == [1, 2] and [tuple(r) for r in refused.collect()] == [(3, "NEWS_DIFFERS")]
+
+
+def most_joined(spark, frame):
+    """The rows of a frame and the most rows that one join made for them."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    rows = frame.collect()
+    most = 0
+    for i in range(before, store.executionsCount()):
+        run = store.executionsList().apply(i).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for n in (nodes.apply(j) for j in range(nodes.size())):
+            for m in (n.metrics().apply(j) for j in range(n.metrics().size())):
+                if "Join" in n.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return rows, most
+
+
+def test_a_key_of_many_securities_multiplies_no_items(spark):
+    keys = spark.range(300).selectExpr("'NAME' AS rule", "'HOT' AS key", "id AS security_id").union(spark.sql("SELECT 'SYMBOL', 'ONE', 7L"))
+    wanted = spark.range(200).selectExpr("id AS news_id", "'NAME' AS rule", "'HOT' AS key").union(spark.sql("SELECT 500L, 'SYMBOL', 'ONE'"))
+    rows, most = most_joined(spark, mapping.cascade(wanted, keys))
+    assert {(r["news_id"], r["status"], r["security_id"]) for r in rows} == {(i, "AMBIGUOUS", None) for i in range(200)} | {(500, "MAPPED", 7)}
+    assert 0 < most <= 201
