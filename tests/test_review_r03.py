@@ -66,3 +66,8 @@ def test_announcements_end_where_their_sql_ends(spark, monkeypatch):
     whole = [tuple(r) for r in registry.QUERIES["announcement_table"](spark, DATA).collect()]
     monkeypatch.setattr(reports, "ANNOUNCEMENTS", 10)
     assert [tuple(r) for r in registry.QUERIES["announcement_table"](spark, DATA).collect()] == whole[:10] and len(whole) > 10
+
+
+def test_names_meet_in_blocks_and_not_by_pairs_of_letters(spark):
+    rows, most = most_joined(spark, registry.QUERIES["similar_part_names"](spark, DATA))
+    assert len(rows) > 100 and 0 < most <= 2 * len(rows)
