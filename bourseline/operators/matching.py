@@ -148,14 +148,43 @@ def merged_candidates(fixed: DataFrame, vectors: DataFrame, k: int = 20) -> Data
     return rows.withColumn("rank", best).filter(F.col("rank") <= k)
 
 
+#: Rows of one key that a task of the join holds of each side.
+KEY_BLOCK = 512
+
+
 def canonical_matches(wanted: DataFrame, master: DataFrame) -> DataFrame:
-    """group_id, security_id, by: every security that agrees in ISIN, symbol or name; three equality joins in place of one OR."""
+    """group_id, security_id, by: every security that agrees in ISIN, symbol or name; three equality joins in place of one OR.
+
+    A pair comes from one join only, that of its first rule and least common
+    key, and its other rules are read off the two rows, so no pair is shuffled.
+    The rows of a key that many share are dealt into blocks, and each pair of
+    blocks is joined by itself.
+    """
+    rules = ("isin", "symbol", "name")
+    keys = lambda rows, id_, to: rows.groupBy(F.col(id_).alias(f"{id_}_")).agg(*[F.sort_array(F.collect_set(_key(c))).alias(f"{c}_{to}") for c in rules])
+    a, b = keys(wanted, "group_id", "a"), keys(master, "security_id", "b")
+    common = lambda c: F.arrays_overlap(f"{c}_a", f"{c}_b")
     parts = []
-    for c, rule in (("isin", "ISIN"), ("symbol", "SYMBOL"), ("name", "NAME")):
-        left = wanted.select("group_id", _key(c).alias("k")).filter("k IS NOT NULL")
-        right = master.select("security_id", _key(c).alias("k")).filter("k IS NOT NULL")
-        parts.append(left.join(right, "k").select("group_id", "security_id", F.lit(rule).alias("by")))
-    return reduce(DataFrame.unionByName, parts).groupBy("group_id", "security_id").agg(F.array_join(F.array_sort(F.collect_set("by")), ",").alias("by"))
+    for at, c in enumerate(rules):
+        left, right = (rows.select("*", F.explode(f"{c}_{to}").alias(f"k{to}_")) for rows, to in ((a, "a"), (b, "b")))
+        # keys of both sides only, with the number of blocks of each
+        sizes = lambda rows, to: rows.groupBy(F.col(f"k{to}_").alias("k_")).agg(F.ceil(F.count("*") / KEY_BLOCK).cast("int").alias(f"n{to}_"))
+        both = sizes(left, "a").join(sizes(right, "b"), "k_")
+        own = lambda id_, n: F.pmod(F.xxhash64(id_), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = left.join(both, F.col("ka_") == F.col("k_")).withColumn("ia_", own("group_id_", "na_")).select(*a.columns, F.col("k_").alias("ka_"), "ia_", every("nb_").alias("ja_"))
+        right = right.join(both, F.col("kb_") == F.col("k_")).withColumn("jb_", own("security_id_", "nb_")).select(*b.columns, F.col("k_").alias("kb_"), "jb_", every("na_").alias("ib_"))
+        pairs = left.join(right, (F.col("ka_") == F.col("kb_")) & (F.col("ia_") == F.col("ib_")) & (F.col("ja_") == F.col("jb_")))
+        first = [~common(x) for x in rules[:at]]
+        once = (F.size(f"{c}_a") == 1) | (F.size(f"{c}_b") == 1) | (F.array_min(F.array_intersect(f"{c}_a", f"{c}_b")) == F.col("ka_"))
+        names = [F.lit(c.upper()), *[F.when(common(x), x.upper()) for x in rules[at + 1 :]]]
+        parts.append(pairs.filter(reduce(lambda x, y: x & y, first, once)).select(F.col("group_id_").alias("group_id"), F.col("security_id_").alias("security_id"), _listed_rules(names).alias("by")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _listed_rules(names: list[Column]) -> Column:
+    """Names of rules in the order of the alphabet, nulls left out."""
+    return F.array_join(F.array_sort(F.array_compact(F.array(*names))), ",")
 
 
 def single_eligible(candidates: DataFrame) -> DataFrame:

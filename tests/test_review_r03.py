@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
-from bourseline.operators import mapping, reviews
+from bourseline.operators import mapping, matching, reviews
 from bourseline.plans import registry, reports
 
 DATA = "/root/testdata/sf0.001"
@@ -71,3 +71,20 @@ def test_announcements_end_where_their_sql_ends(spark, monkeypatch):
 def test_names_meet_in_blocks_and_not_by_pairs_of_letters(spark):
     rows, most = most_joined(spark, registry.QUERIES["similar_part_names"](spark, DATA))
     assert len(rows) > 100 and 0 < most <= 2 * len(rows)
+
+
+def test_matches_of_a_shared_name_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "KEY_BLOCK", 8)
+    schema = "isin string, symbol string, name string"
+    wanted = [(i, f"I{i}", None if i % 2 else "S1", " ring") for i in range(40)] + [(3, "I3", "s7", "ring"), (3, "I4", None, "Cap"), (None, "I9", "S1", None)]
+    listed = [(i, f"i{i % 20}", f"S{i % 9}", "Ring " if i % 3 else "cap") for i in range(50)] + [(7, "I3", "s7", "cap"), (None, "I9", None, "ring")]
+    a, b = spark.createDataFrame(wanted, f"group_id long, {schema}"), spark.createDataFrame(listed, f"security_id long, {schema}")
+    plain = lambda x: x.strip().upper() if x else None
+    want = {}
+    for g, *x in wanted:
+        for s, *y in listed:
+            want.setdefault((g, s), set()).update(n for n, p, q in zip(("ISIN", "SYMBOL", "NAME"), x, y, strict=True) if p and q and plain(p) == plain(q))
+    got = [tuple(r) for r in matching.canonical_matches(a, b).collect()]
+    assert len(got) == len({r[:2] for r in got}) and {r[:2]: r[2] for r in got} == {k: ",".join(sorted(v)) for k, v in want.items() if v}
+    plan = matching.canonical_matches(a, b)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ia_" in plan and "collect_set(by" not in plan
