@@ -211,15 +211,16 @@ def verified(candidates: DataFrame, master: DataFrame) -> DataFrame:
     where the security or the query has no value. One field that agrees is a
     MATCH by that field, several are a MATCH by MULTIPLE, none is a REVIEW; a
     security that is absent or inactive is NO_CANONICAL_MATCH. Identity fields
-    that the master lacks are UNKNOWN.
+    that the master lacks are UNKNOWN. The master's values are made plain once
+    for each security, not for each candidate.
     """
     known = [c for c in IDENTITY_FIELDS if c in master.columns]
-    side = master.filter("is_active").select("security_id", F.struct(*[F.col(c).cast("string").alias(c) for c in known]).alias("own_"))
+    side = master.filter("is_active").select("security_id", F.struct(*[F.col(c).cast("string").alias(c) for c in known]).alias("own_"), F.struct(*[_plain(F.col(c)).alias(c) for c in known]).alias("plain_"))
     rows = candidates.join(side, "security_id", "left").withColumn("asked_", _plain(F.col("query_text")))
 
     def compared(c: str) -> Column:
         value = F.col("own_")[c] if c in known else F.lit(None).cast("string")
-        same = _plain(value) == F.col("asked_")
+        same = F.col("plain_")[c] == F.col("asked_") if c in known else F.lit(None).cast("boolean")
         return F.struct(F.lit(c.upper()).alias("field"), value.alias("value"), F.when(same.isNull(), "UNKNOWN").when(same, "AGREE").otherwise("DIFFER").alias("state"))
 
     rows = rows.withColumn("fields", F.array(*map(compared, IDENTITY_FIELDS)))

@@ -116,3 +116,13 @@ def test_slices_do_not_move_through_a_shuffle(spark):
     rows, most = most_joined(spark, series.slices(events, bars, 10))
     assert {r["news_id"]: r["closes"] for r in rows} == {i: [float(s * 1000 + j) for j in range(n - 10, n)] for i, s, n in ((1, 1, 10), (2, 1, 10), (4, 2, 30))}
     assert len(rows) == 3 and most == 0
+
+
+def test_a_security_is_made_plain_once_and_not_for_each_candidate(spark):
+    master = spark.createDataFrame([(1, "IN 1", " a  b ", True), (2, "x", "x", True), (3, "y", None, False)], "security_id long, isin string, symbol string, is_active boolean")
+    asked = spark.createDataFrame([(1, "in  1"), (1, "A b"), (2, "X"), (2, None), (3, "y"), (4, "z")], "security_id long, query_text string")
+    rows = matching.verified(asked, master)
+    assert [(r["verdict"], r["matched_field"]) for r in rows.collect()].count(("MATCH", "MULTIPLE")) == 1
+    assert {(r["security_id"], r["query_text"], r["verdict"], r["matched_field"]) for r in rows.collect()} == {(1, "in  1", "MATCH", "ISIN"), (1, "A b", "MATCH", "SYMBOL"), (2, "X", "MATCH", "MULTIPLE"), (2, None, "REVIEW", None), (3, "y", "NO_CANONICAL_MATCH", None), (4, "z", "NO_CANONICAL_MATCH", None)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[: plan.index("Join LeftOuter")].count("regexp_replace") <= 1
