@@ -12,14 +12,15 @@ connected components of the links.
 Equal texts are one class from the start and only the least doc_id stands for
 them.  First, components are merged: in every signature's group one member of
 the largest component is compared to one member of each other component, over
-a few slots and then over all.  Groups that are one component are done.  In the
+a share of the signatures and then over all.  Groups that are one component are done.  In the
 others leaders from all components but the largest are compared to all members outside
 their component, then leave the group, until every candidate pair is verified
 or connected, so comparisons grow with the members and the components and not
-with the square of a group of copies.  A group of more than ``crowd``
-components after the merging is a passage that otherwise different texts share:
-its k-mers are left out, and the documents of such groups are sketched again
-without them, for as long as there are such groups.
+with the square of a group of copies.  A group of more than ``crowd`` members
+(a passage that otherwise different texts share) is parted by its members'
+rarest words first: a text of n words has one more of them than the edits it
+allows, counted with repetitions, so texts as similar as asked share one of
+them at least, and no candidate pair that could be a link is lost.
 
 Null text is empty; empty texts are one class.  A text of fewer than five
 words is one k-mer.  A null doc_id forms no class: its row has class_id null.
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .alignment import edits_within
@@ -43,8 +44,8 @@ from .graph import components
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Crowded signatures whose k-mers are left out at one time, the largest first; other groups go on with more leaders.
-CROWDED = 50_000
+#: Most words whose numbers set the order of rare words in crowded groups; any order finds the same links.
+COMMON = 65_536
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -83,42 +84,38 @@ def kmers(hashes: np.ndarray, size: int = WORDS) -> np.ndarray:
 
 
 def labelled(keys: np.ndarray) -> np.ndarray:
-    """K-mers made distinct by their occurrence number."""
+    """K-mers (or words) made distinct by their occurrence number; a first occurrence is the same in every text."""
     order = np.argsort(keys, kind="stable")
     same = np.concatenate([[False], keys[order][1:] == keys[order][:-1]])
     if not same.any():
-        return keys
+        return mixed(keys)
     at = np.arange(len(keys))
     number = np.empty(len(keys), np.uint64)
     number[order] = at - np.maximum.accumulate(np.where(same, 0, at))
     return mixed(keys + number * np.uint64(0xD6E8FEB86659FD93))
 
 
-def signatures(keys: np.ndarray, slots: int, kept: int) -> tuple[np.ndarray, np.ndarray]:
-    """One signature for each slot, and the places of its k-mers: the ``kept`` least by the slot's order, as they stand in the text."""
-    out, places = np.empty(slots, np.uint64), np.empty((slots, min(kept, len(keys))), np.int64)
+def signatures(keys: np.ndarray, slots: int, kept: int) -> np.ndarray:
+    """One signature for each slot: of the ``kept`` least k-mers by the slot's order, as they stand in the text."""
+    out = np.empty(slots, np.uint64)
     for first in range(0, slots, step := max(1, 400_000 // len(keys))):
         salts = mixed(np.arange(first + 1, min(slots, first + step) + 1, dtype=np.uint64))
         ranks = keys[None, :] * (salts | np.uint64(1))[:, None]
         rows = np.arange(len(salts))
+        places = np.empty((len(salts), min(kept, len(keys))), np.int64)
         for j in range(places.shape[1]):
-            at = ranks.argmin(axis=1)
-            places[first : first + len(salts), j] = at
+            places[:, j] = at = ranks.argmin(axis=1)
             ranks[rows, at] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        at = np.sort(places[first : first + len(salts)], axis=1)
+        at = np.sort(places, axis=1)
         h = salts
         for j in range(at.shape[1]):
             h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + keys[at[:, j]])
         out[first : first + len(h)] = h
-    return out, places
+    return out
 
 
-def _without(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
-    return keys[~np.isin(keys, common)] if len(common) else keys
-
-
-def _sketch(slots: int, kept: int, common: np.ndarray):
-    """The signatures of each text without the common k-mers; a text of common k-mers alone has none."""
+def _sketch(slots: int, kept: int):
+    """The number of words and the signatures of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -127,8 +124,7 @@ def _sketch(slots: int, kept: int, common: np.ndarray):
             for text in batch.column("text").to_pylist():
                 own = words.of(text.lower().split())
                 sizes.append(len(own))
-                keys = _without(labelled(kmers(own)), common)
-                found.append(signatures(keys, slots, kept)[0] if len(keys) else keys)
+                found.append(signatures(labelled(kmers(own)), slots, kept))
             ends = np.cumsum([len(x) for x in found]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("a"), batch.column("b"), pa.array(sizes, pa.int64()), lists], names=["doc_id", "a", "b", "words", "sigs"])
@@ -136,19 +132,41 @@ def _sketch(slots: int, kept: int, common: np.ndarray):
     return run
 
 
-def _kmers_of(slots: int, kept: int, common: np.ndarray, crowded: np.ndarray):
-    """The k-mers that make up crowded signatures."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words, numbered by their occurrence, and in how many texts of a batch each stands."""
+    words = WordHashes()
+    for batch in batches:
+        own = [labelled(words.of(text.lower().split())) for text in batch.column("text").to_pylist()]
+        found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *own]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+
+def rarest(keys: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """One more of a text's numbered words than the edits it allows, those first that come last in ``common`` or not at all.
+
+    Two texts of at most n words that e edits part share n - e numbered words,
+    so those left out of one of them cannot be all they share.  A text without
+    words has the word 0.
+    """
+    if not len(keys):
+        return np.zeros(1, np.uint64)
+    rank = np.zeros(len(keys), np.int64)
+    if len(common):
+        order = np.argsort(common)
+        at = order[np.minimum(np.searchsorted(common, keys, sorter=order), len(common) - 1)]
+        rank = np.where(common[at] == keys, len(common) - at, 0)
+    return keys[np.lexsort((keys, rank))[: most_edits(len(keys), similarity) + 1]]
+
+
+def _rare(common: np.ndarray, similarity: float):
+    """The rarest words of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            found = [np.empty(0, np.uint64)]
-            for text in batch.column("text").to_pylist():
-                keys = _without(labelled(kmers(words.of(text.lower().split()))), common)
-                if len(keys):
-                    sigs, places = signatures(keys, slots, kept)
-                    found.append(keys[places[np.isin(sigs, crowded)].reshape(-1)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], names=["kmer"])
+            own = [rarest(labelled(words.of(text.lower().split())), common, similarity) for text in batch.column("text").to_pylist()]
+            ids = np.repeat(np.array(batch.column("doc_id"), np.int64), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64))], names=["id", "word"])
 
     return run
 
@@ -192,10 +210,10 @@ class _Links:
         self.done: DataFrame | None = None
         self.labels = components(texts.sparkSession.createDataFrame([], "u long, v long"))
 
-    def entries(self, sketch: DataFrame, slots: int) -> DataFrame:
-        """sig, id, words, label of the first signatures; the component is looked up once for each document."""
+    def entries(self, sketch: DataFrame, share: int = 1) -> DataFrame:
+        """sig, id, words, label of one signature in ``share``; the component is looked up once for each document."""
         named = sketch.join(self.labels.withColumnRenamed("v", "doc_id"), "doc_id", "left")
-        return named.select(F.explode(F.array_distinct(F.slice("sigs", 1, slots))).alias("sig"), F.col("doc_id").alias("id"), "words", F.coalesce("label", "doc_id").alias("label"))
+        return named.select(F.explode(F.filter("sigs", lambda s: F.pmod(s, F.lit(share)) == 0)).alias("sig"), F.col("doc_id").alias("id"), "words", F.coalesce("label", "doc_id").alias("label"))
 
     def parts(self, entries: DataFrame, salt: int) -> DataFrame:
         """One member of each component in each group of more than one component, and the component's size there."""
@@ -216,9 +234,9 @@ class _Links:
         self.labels = components(self.labels.select(F.col("label").alias("u"), "v").unionByName(found))
         return True
 
-    def merge(self, sketch: DataFrame, slots: int, salt: int) -> None:
+    def merge(self, sketch: DataFrame, share: int, salt: int) -> None:
         """Compare one member of each group's largest component to one member of each of its other components."""
-        each = stored(self.parts(self.entries(sketch, slots), salt), "parts")
+        each = stored(self.parts(self.entries(sketch, share), salt), "parts")
         lead = each.groupBy("sig").agg(F.max_by(F.struct("id", "words", "label"), F.struct("n", F.xxhash64("id", F.lit(salt)), "id")).alias("lead"))
         self.link(each, lead.select("sig", F.col("lead.id").alias("lead"), F.col("lead.words").alias("lead_words"), F.col("lead.label").alias("lead_label")))
         discard(each)
@@ -234,46 +252,64 @@ class _Links:
         chosen = stored(chosen.select("sig", F.col("lead.one.id").alias("lead"), F.col("lead.one.words").alias("lead_words"), F.col("lead.label").alias("lead_label")), "leaders")
         self.link(entries, chosen)
         left = entries.drop("label").join(chosen.select("sig", F.col("lead").alias("id")), ["sig", "id"], "left_anti")
-        left = left.join(self.labels.withColumnRenamed("v", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        parted = left.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
-        left = stored(left.join(parted, "sig", "left_semi").select("sig", "id", "words", "label"), "open")
+        left = self.open(left)
         discard(chosen, each)
         return left
 
+    def open(self, entries: DataFrame) -> DataFrame:
+        """The entries (sig, id, words) of groups of more than one component, with their component as of now."""
+        named = entries.join(self.labels.withColumnRenamed("v", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        parted = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
+        return stored(named.join(parted, "sig", "left_semi").select("sig", "id", "words", "label"), "open")
+
+    def settle(self, entries: DataFrame) -> None:
+        """Compare leaders until every pair of a group is verified or connected."""
+        leaders = 1
+        while not entries.isEmpty():
+            last, entries = entries, self.lead(entries, leaders)
+            discard(last)
+            leaders *= 4
+
+    def by_rare_words(self, entries: DataFrame) -> DataFrame:
+        """The entries of crowded groups, dealt again by the rarest words of their texts that several components share."""
+        ids = stored(entries.select(F.col("id").alias("doc_id")).distinct(), "ids")
+        texts = stored(texts_of(self.texts, ids).select("doc_id", "text"), "texts")
+        counts = texts.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+        common = np.array([r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()], np.int64).view(np.uint64)
+        rare = stored(texts.mapInArrow(_rare(common, self.similarity), "id long, word long").distinct().join(entries.select("id", "label").distinct(), "id"), "rare")
+        many = rare.groupBy("word").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("word")
+        dealt = entries.drop("label").join(rare.join(many, "word", "left_semi").select("id", "word"), "id")
+        found = self.open(dealt.select(F.xxhash64("sig", "word").alias("sig"), "id", "words"))
+        discard(ids, texts, rare)
+        return found
+
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, slots: int = 48, kept: int = 2, crowd: int = 64) -> DataFrame:
     """doc_id, class_id, copies of every document: the least doc_id of its class, and its exact copies with itself."""
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     keyed = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
-    schema = "doc_id long, a long, b long, words long, sigs array<long>"
-    common = np.empty(0, np.uint64)
-    sketch = stored(keyed.mapInArrow(_sketch(slots, kept, common), schema), "sketch")
+    sketch = stored(keyed.mapInArrow(_sketch(slots, kept), "doc_id long, a long, b long, words long, sigs array<long>"), "sketch")
     exact = stored(sketch.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "exact")
     # a doc_id that stands for two texts is one vertex; its rows' texts are all compared
-    last, sketch = sketch, stored(sketch.join(exact, ["a", "b"]).filter("doc_id = rep").select("doc_id", "words", "sigs"), "sketch")
+    each = sketch.join(exact, ["a", "b"]).filter("doc_id = rep").select("doc_id", "words", F.explode("sigs").alias("sig"))
+    # a signature of one document alone meets nothing
+    group = Window.partitionBy("sig")
+    met = each.select("*", F.min("doc_id").over(group).alias("x"), F.max("doc_id").over(group).alias("y")).filter("x <> y")
+    last, sketch = sketch, stored(met.groupBy("doc_id", "words").agg(F.collect_set("sig").alias("sigs")), "sketch")
     discard(last)
     found = _Links(keyed, similarity)
-    while True:
-        # a few slots connect most of a group of copies; the others then see it as one component
-        for number, salt in ((slots // 6, 0), (slots // 6, 1), (slots, 2), (slots, 3)):
-            found.merge(sketch, number, salt)
-        each = stored(found.parts(found.entries(sketch, slots), 4).groupBy("sig").agg(F.count("*").alias("n")), "parts")
-        crowded = stored(each.filter(F.col("n") > crowd).orderBy(F.desc("n"), "sig").limit(CROWDED).select("sig"), "crowded")
-        rest = stored(found.entries(sketch, slots).join(each.join(crowded, "sig", "left_anti").select("sig"), "sig", "left_semi"), "rest")
-        leaders = 1
-        while not rest.isEmpty():
-            last, rest = rest, found.lead(rest, leaders)
-            discard(last)
-            leaders *= 4
-        ids = stored(sketch.select("doc_id", F.explode("sigs").alias("sig")).join(F.broadcast(crowded), "sig", "left_semi").select("doc_id").distinct(), "ids")
-        if ids.isEmpty():
-            break
-        again = stored(texts_of(keyed, ids), "again")
-        hot = np.sort(np.array([r["sig"] for r in crowded.toLocalIterator()], np.int64).view(np.uint64))
-        more = again.mapInArrow(_kmers_of(slots, kept, common, hot), "kmer long").distinct()
-        common = np.union1d(common, np.array([r["kmer"] for r in more.toLocalIterator()], np.int64).view(np.uint64))
-        last, sketch = sketch, stored(again.mapInArrow(_sketch(slots, kept, common), schema).select("doc_id", "words", "sigs"), "sketch")
-        discard(last, again, ids, each, crowded)
+    # a share of the signatures connects most of a group of copies; the others then see it as one component
+    for share, salt in ((6, 0), (6, 1), (1, 2), (1, 3)):
+        found.merge(sketch, share, salt)
+    rest = found.open(found.entries(sketch).drop("label"))
+    sizes = stored(rest.groupBy("sig").agg(F.count("*").alias("n")), "sizes")
+    crowded = stored(rest.join(sizes.filter(F.col("n") > crowd).select("sig"), "sig", "left_semi"), "crowded")
+    small = stored(rest.join(sizes.filter(F.col("n") <= crowd).select("sig"), "sig", "left_semi"), "small")
+    discard(sketch, rest, sizes)
+    found.settle(small)
+    crowded = found.open(crowded.drop("label"))
+    if not crowded.isEmpty():
+        found.settle(found.by_rare_words(crowded))
     label = found.labels.select(F.col("v").alias("rep"), "label")
     classes = exact.join(label, "rep", "left").select("a", "b", F.coalesce("label", "rep").alias("class_id"), "copies")
     ids = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
