@@ -7,9 +7,9 @@ hash).  Each has a 128-bit SimHash of its set of words, lines of few words (also
 one of their character trigrams.  The bits are cut into pigeonhole blocks of
 ``k`` bits under several orders of the bits; two lines meet if they agree on a
 block, and are candidates if 88 bits of their hashes differ in at most ``NEAR_ALL`` and
-their lengths allow the similarity.  ``k`` follows from the number of lines so that a group stays
-small; the number of blocks follows from ``k`` so that a tenth of the bits may
-differ at any size (``MISSED``).  Candidates are verified by the edit
+their lengths allow the similarity.  ``k`` and the blocks are the same for every input, so
+whether two lines meet never depends on other lines; there are so many blocks that a tenth of the bits may
+differ (``MISSED``).  Candidates are verified by the edit
 similarity of their normal forms, and each connected group keeps its first
 occurrence, the least (doc_id, line).
 
@@ -48,8 +48,8 @@ from .near_dup import mixed
 BITS = 3  # hashes that differ in so many bits always agree on a block
 NEAR, NEAR_ALL = 12, 18  # greatest difference of two candidates' hashes, of 56 bits and of all 88 that travel with a block
 SCALE = 0.045  # lengths are compared by the whole part of their logarithm over this
-MISSED = 0.02  # share of lines that meet on no block when a tenth of the bits differs
-_GROUP = 24  # lines that meet in a group on average, were their hashes random
+MISSED = 0.005  # share of lines that meet on no block when a tenth of the bits differs
+WIDTH = 18  # bits of a block: 100 million lines are groups of about 400 on average, were their hashes random
 _LARGE = 256  # members from which on a group is compared one row at a time
 _CROWD = 64  # candidates of one member from which on a group has leaders
 
@@ -188,16 +188,15 @@ def _occurrences(min_words: int, least: int, size: int = 500_000):
     return run
 
 
-def masks(lines: int) -> list[int]:
-    """Masks of 128 bits, one for each block, for so many distinct lines."""
-    width = min(32, max(8, (lines // _GROUP).bit_length()))
-    number = max(16, math.ceil(math.log(MISSED) / math.log1p(-(0.9**width))))
-    rng = np.random.default_rng(11)
+def masks(seed: int = 11) -> list[int]:
+    """Masks of 128 bits, one for each block, whatever the number of lines."""
+    number = math.ceil(math.log(MISSED) / math.log1p(-(0.9**WIDTH)))
+    rng = np.random.default_rng(seed)
     out: list[int] = []
     while len(out) < number:
         order = rng.permutation(128).tolist()
-        out += [sum(1 << x for x in order[i : i + width]) for i in range(0, 128 - width + 1, width)]
-    return out[: max(number, 128 // width)]
+        out += [sum(1 << x for x in order[i : i + WIDTH]) for i in range(0, 128 - WIDTH + 1, WIDTH)]
+    return out[:number]
 
 
 def _spread(chosen: list[int], shares: int):
@@ -370,7 +369,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.85, min_words: int = 3
     hashes = [F.first(x).alias(x) for x in ("length", "s", "z", "g", "h")]  # equal forms have equal hashes
     lines = stored(found.groupBy("a", "b").agg(F.min(place).alias("first"), *hashes, F.count("*").alias("n")), "lines")
     number = lines.count()
-    chosen = masks(number)
+    chosen = masks()
     shares = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), number * len(chosen) // 1_000_000)
     met = lines.filter("s IS NOT NULL OR g IS NOT NULL").select("a", "length", "s", "z", "g", "h").mapInArrow(_spread(chosen, shares), "share int, key binary, sim binary, more binary, a binary").groupBy("share").applyInArrow(_meet(similarity), _MET)
     met = stored(met, "met")
