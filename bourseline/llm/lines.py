@@ -48,8 +48,8 @@ from .near_dup import mixed
 BITS = 3  # hashes that differ in so many bits always agree on a block
 NEAR, NEAR_ALL = 12, 18  # greatest difference of two candidates' hashes, of 56 bits and of all 88 that travel with a block
 SCALE = 0.045  # lengths are compared by the whole part of their logarithm over this
-MISSED = 0.005  # share of lines that meet on no block when a tenth of the bits differs
-WIDTH = 18  # bits of a block: 100 million lines are groups of about 400 on average, were their hashes random
+MISSED = 0.0002  # share of lines that meet on no block when a tenth of the bits differs
+WIDTH = 16  # bits of a block: 100 million lines are groups of about 1,500 on average, were their hashes random
 _LARGE = 256  # members from which on a group is compared one row at a time
 _CROWD = 64  # candidates of one member from which on a group has leaders
 
