@@ -48,6 +48,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete stored tables that nothing reads any more, and let Spark clean the shuffles of plans that are out of use."""
     gc.collect()

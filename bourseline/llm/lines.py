@@ -9,7 +9,7 @@ one of their character trigrams.  The bits are cut into pigeonhole blocks of
 block, and are candidates if 88 bits of their hashes differ in at most ``NEAR_ALL`` and
 their lengths allow the similarity.  ``k`` and the blocks are the same for every input, so
 whether two lines meet never depends on other lines; there are so many blocks that a tenth of the bits may
-differ (``MISSED``).  Candidates are verified by the edit
+differ (``MISSED``).  The blocks take their turns in rounds, so that what is shuffled at a time is a share of it all.  Candidates are verified by the edit
 similarity of their normal forms, and each connected group keeps its first
 occurrence, the least (doc_id, line).
 
@@ -32,7 +32,7 @@ import math
 import re
 import sys
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .alignment import by_bits, texts_within, trimmed
-from .common import plain_names, BROADCAST_IDS, discard, stored
+from .common import plain_names, BROADCAST_IDS, discard, forget, stored
 from .graph import components
 from .near_dup import mixed
 
@@ -50,6 +50,8 @@ NEAR, NEAR_ALL = 12, 18  # greatest difference of two candidates' hashes, of 56
 SCALE = 0.045  # lengths are compared by the whole part of their logarithm over this
 MISSED = 0.0002  # share of lines that meet on no block when a tenth of the bits differs
 WIDTH = 16  # bits of a block: 100 million lines are groups of about 1,500 on average, were their hashes random
+ROUND = 7  # blocks of one round at least: shuffled entries of a round are gone before the next begins
+ENTRIES = 10_000_000  # entries of a round, if that is more
 _LARGE = 256  # members from which on a group is compared one row at a time
 _CROWD = 64  # candidates of one member from which on a group has leaders
 
@@ -110,10 +112,15 @@ def _candidates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x ^ y) >> np.uint64(8)) <= NEAR
 
 
+def _apart(similarity: float) -> int:
+    """Most that the classes of two lengths may differ."""
+    return math.ceil(-math.log(similarity) / SCALE)
+
+
 def _sure(sim: np.ndarray, more: np.ndarray, i: np.ndarray | int, j: np.ndarray, similarity: float) -> np.ndarray:
     """Those of the candidates ``j`` whose further bits and lengths agree as well: which of them stay."""
     x, y = sim[i], sim[j]
-    lengths = np.abs((x & np.uint64(255)).astype(np.int64) - (y & np.uint64(255)).astype(np.int64)) <= math.ceil(-math.log(similarity) / SCALE)
+    lengths = np.abs((x & np.uint64(255)).astype(np.int64) - (y & np.uint64(255)).astype(np.int64)) <= _apart(similarity)
     return lengths & (np.bitwise_count((x ^ y) >> np.uint64(8)) + np.bitwise_count(more[i] ^ more[j]) <= NEAR_ALL)
 
 
@@ -199,7 +206,8 @@ def masks(seed: int = 11) -> list[int]:
     return out[:number]
 
 
-def _spread(chosen: list[int], shares: int):
+def _spread(chosen: list[int], shares: int, start: int = 0):
+    """Each hash under each of the chosen masks, the first of which is number ``start`` of all."""
     low = np.array([m & (1 << 64) - 1 for m in chosen], np.uint64)
     high = np.array([m >> 64 for m in chosen], np.uint64)
 
@@ -211,7 +219,7 @@ def _spread(chosen: list[int], shares: int):
                 one, two, a = (np.array(here.column(c), np.int64).view(np.uint64) for c in (x, y, "a"))
                 sent = one & ~np.uint64(255) | np.array(here.column("length"), np.uint64)
                 for i in range(len(low)):
-                    keys.append(mixed(mixed(one & low[i]) + (two & high[i]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * i + kind)))
+                    keys.append(mixed(mixed(one & low[i]) + (two & high[i]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * (start + i) + kind)))
                     sims.append(sent)
                     rests.append(two.astype(np.uint32))
                     ids.append(a)
@@ -246,8 +254,10 @@ def _met(table: pa.Table, similarity: float) -> pa.Table:
     """Candidates of one share of the groups; a group in which a member has many of them is given whole, for ``_lead``."""
     key, sim, more, line = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("key", "<u4"), ("sim", "<u8"), ("more", "<u4"), ("a", "<i8")))
     share = np.int64(table.column("share")[0].as_py())
-    order = np.lexsort((line, key))
+    # by length within a group, so that a line is compared to those of lengths near its own only
+    order = np.argsort(key.astype(np.uint64) << np.uint64(8) | sim & np.uint64(255))
     key, sim, more, line = key[order], sim[order], more[order], line[order]
+    reach = np.searchsorted(place := key.astype(np.int64) << 8 | (sim & np.uint64(255)).astype(np.int64), np.minimum(place + _apart(similarity), place | 255), side="right")
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     ends = np.append(new[1:], len(key))
     pairs, members = [], []
@@ -259,7 +269,7 @@ def _met(table: pa.Table, similarity: float) -> pa.Table:
     for a, b in zip(new[~small].tolist(), ends[~small].tolist(), strict=True):
         own, total = [], 0
         for i in range(a, b - 1):
-            hit = i + 1 + np.flatnonzero(_candidates(sim[i + 1 : b], sim[i]))
+            hit = i + 1 + np.flatnonzero(_candidates(sim[i + 1 : reach[i]], sim[i]))
             hit = hit[_sure(sim, more, i, hit, similarity)]
             own.append((line[np.full(len(hit), i)], line[hit]))
             total += len(hit)
@@ -268,13 +278,12 @@ def _met(table: pa.Table, similarity: float) -> pa.Table:
                 break
         else:
             pairs += own
-    group_end = np.repeat(np.where(small, ends, 0), ends - new)
-    at = np.flatnonzero(group_end)
+    at = np.flatnonzero(np.repeat(small, ends - new))
     one, two = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     step = 0
-    while len(at):  # every pair of a group lies at some step
+    while len(at):  # every pair of a group that lengths allow lies at some step
         step += 1
-        at = at[at + step < group_end[at]]
+        at = at[at + step < reach[at]]
         hit = at[_candidates(sim[at], sim[at + step])]
         hit = hit[_sure(sim, more, hit, hit + step, similarity)]
         one.append(hit)
@@ -370,9 +379,16 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.85, min_words: int = 3
     lines = stored(found.groupBy("a", "b").agg(F.min(place).alias("first"), *hashes, F.count("*").alias("n")), "lines")
     number = lines.count()
     chosen = masks()
-    shares = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), number * len(chosen) // 1_000_000)
-    met = lines.filter("s IS NOT NULL OR g IS NOT NULL").select("a", "length", "s", "z", "g", "h").mapInArrow(_spread(chosen, shares), "share int, key binary, sim binary, more binary, a binary").groupBy("share").applyInArrow(_meet(similarity), _MET)
-    met = stored(met, "met")
+    each = max(ROUND, min(len(chosen), ENTRIES // max(1, number)))
+    shares = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), number * each // 1_000_000)
+    hashed = lines.filter("s IS NOT NULL OR g IS NOT NULL").select("a", "length", "s", "z", "g", "h")
+    rounds = []
+    for first in range(0, len(chosen), each):
+        met = hashed.mapInArrow(_spread(chosen[first : first + each], shares, first), "share int, key binary, sim binary, more binary, a binary").groupBy("share").applyInArrow(_meet(similarity), _MET)
+        rounds.append(stored(met, "met"))
+        del met
+        forget(docs.sparkSession)
+    met = reduce(DataFrame.unionByName, rounds)
     members = met.filter("kind = 1").select("x", "y", "z", "more")
     pairs = stored(met.filter("kind = 0").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "pairs")
     ends = stored(pairs.select(F.col("u").alias("a")).unionByName(pairs.select(F.col("v").alias("a"))).unionByName(members.select(F.col("y").alias("a"))).distinct().join(lines.select("a", "first"), "a"), "ends")
