@@ -25,6 +25,8 @@ from .lineage import cut
 
 #: Vectors that are compared at a time: a task holds two blocks of so many, one of the index and one of queries.
 BLOCK = 4096
+#: Cosines of vectors and centres that a task holds at a time.
+PIECE = 1 << 18
 #: Most cells: the centres, which every task gets, are bounded by them.
 MOST_CELLS = 4096
 
@@ -44,15 +46,23 @@ def _unit(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", e.alias("e"), length.alias("l_")).filter((F.col("l_") > 0) & (F.col("l_") < float("inf"))).select("vec_id", F.transform("e", lambda x: x / F.col("l_")).alias("e"))
 
 
+def _cells(part: pd.DataFrame, centres: np.ndarray, probes: int) -> Iterator[pd.DataFrame]:
+    """The rows of ``_placed`` of some vectors, in pieces that neither the cells nor the probes make larger."""
+    step = max(1, PIECE // len(centres))
+    for i in range(0, len(part), step):
+        own = part.iloc[i : i + step]
+        near = np.stack(own["e"]) @ centres.T
+        order = near.argmax(axis=1)[:, None] if probes == 1 else np.argsort(-near, axis=1, kind="stable")[:, :probes]
+        n = order.shape[1]
+        yield pd.DataFrame({"vec_id": np.repeat(own["vec_id"].to_numpy(), n), "e": own["e"].repeat(n).to_numpy(), "cell": order.ravel().astype("int32"), "rank": np.tile(np.arange(1, n + 1, dtype="int32"), len(own))})
+
+
 def _placed(units: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     """Every vector with the ``probes`` cells of greatest cosine (cell, rank from 1; ties: the lower cell)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            if len(part):
-                order = np.argsort(-(np.stack(part["e"]) @ centres.T), axis=1, kind="stable")[:, :probes]
-                n = order.shape[1]
-                yield pd.DataFrame({"vec_id": np.repeat(part["vec_id"].to_numpy(), n), "e": part["e"].repeat(n).to_numpy(), "cell": order.ravel().astype("int32"), "rank": np.tile(np.arange(1, n + 1, dtype="int32"), len(part))})
+            yield from _cells(part, centres, probes)
 
     return units.mapInPandas(run, "vec_id long, e array<double>, cell int, rank int")
 
