@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 
 from bourseline.operators import vector_index
+from bourseline.plans import matching
 
 
 def _vectors(n: int, dim: int = 16) -> pd.DataFrame:
@@ -25,3 +26,11 @@ def test_placing_vectors_does_not_hold_all_cosines_of_a_batch():
         order = np.argsort(-(np.stack(part["e"]) @ centres.T), axis=1, kind="stable")[:, :probes]
         assert (got["cell"].to_numpy().reshape(-1, probes) == order).all()
         assert (got["rank"].to_numpy().reshape(-1, probes) == np.arange(1, probes + 1)).all()
+
+
+def test_candidates_are_joined_in_tasks_that_are_not_put_together(spark):
+    found = matching.candidates_merged(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(item" in line and "REPARTITION_BY_NUM" in line]
+    assert len(dealt) == 2 and all(f", {parts})" in line for line in dealt)
