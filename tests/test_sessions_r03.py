@@ -55,3 +55,36 @@ def test_event_feature_row_moves_no_row_of_a_session(spark):
     plan = features.event_feature_row(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert "event_trade_date" not in "".join(x for x in plan.splitlines() if "Exchange" in x or "SortMergeJoin" in x)
     assert "Window" not in plan
+
+
+def test_training_evaluates_the_event_rows_once_and_gets_few_summaries(spark, monkeypatch):
+    from bourseline.operators import boosting
+    from bourseline.plans import learning
+
+    calls = []
+    monkeypatch.setattr(learning, "written", lambda rows, name: calls.append(rows) or __import__("bourseline.operators.lineage", fromlist=["x"]).written(rows, name))
+    plan = learning.event_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert len(calls) == 1 and "MapInArrow" not in plan and "lineitem" not in plan
+    seen = []
+    frame = type(spark.range(1))
+    kept = frame.agg
+    monkeypatch.setattr(frame, "agg", lambda self, *a: seen.append(self.rdd.getNumPartitions()) or kept(self, *a))
+    boosting.bins_of(spark.range(0, 1000, 1, 90).withColumn("a", F.col("id") * 1.5), ["a"])
+    assert seen == [2 * spark.sparkContext.defaultParallelism]
+
+
+def test_rows_without_a_label_are_scored_but_do_not_train(spark):
+    from bourseline.operators import boosting
+
+    rows = spark.range(400).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 40).cast("double").alias("a"), F.when(F.col("id") % 3 > 0, F.when(F.col("id") % 40 < 20, "x").otherwise("y")).alias("label"))
+    bins = boosting.bins_of(rows, ["a"])
+    table = boosting.labelled_bins(rows, bins, "label", ["x", "y"], ["id"])
+    assert table.count() == 400
+    found = {r["id"]: (r["y_"], list(r["bins_"])) for r in table.collect()}
+    for r in rows.collect():
+        assert found[r["id"]] == ({"x": 0, "y": 1}.get(r["label"]), [0 if r["a"] is None else 1 + sum(e < r["a"] for e in bins.edges[0])])
+    settings = boosting.Settings(rounds=3, rate=0.5, depth=2, columns=1.0, least_rows=5)
+    model = boosting.fit(table.filter("y_ IS NOT NULL"), bins, ["x", "y"], settings)
+    assert model.dumped() == boosting.fit(boosting.binned(rows, bins, "label", ["x", "y"]), bins, ["x", "y"], settings).dumped()
+    said = {r["id"]: r["direction"] for r in boosting.predicted(table, model, ["id"]).collect()}
+    assert len(said) == 400 and all(said[i] == ("x" if i % 40 < 20 else "y") for i in range(400) if i % 5)
