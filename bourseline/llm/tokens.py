@@ -20,8 +20,11 @@ import json
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Pre-token patterns of the two vocabularies (fixed values).
@@ -63,8 +66,9 @@ class Generations:
             self.old, self.new = self.new, {}
             absent = keys
         old = self.old
-        self.new.update([(k, old[k]) for k in absent if k in old])
-        return [k for k in absent if k not in old]
+        back = absent & old.keys()
+        self.new.update(zip(back, map(old.__getitem__, back), strict=True))
+        return list(absent - back)
 
 
 def merge_ranks(tokenizer) -> dict[bytes, int] | None:
@@ -113,16 +117,22 @@ class PieceEncoder:
     def _many(self, tokens: list[str]) -> list[bytes]:
         """Ids of pre-tokens, merged by the vocabulary's model from their bytes."""
         tokenize, table = self.tokenize, _BYTE_CHARS
-        return [np.array([x.id for x in tokenize(t.encode().decode("latin-1").translate(table))], "<u4").tobytes() for t in tokens]
+        spelt = [t if t.isascii() and t.isalnum() else t.encode().decode("latin-1").translate(table) for t in tokens]
+        return [array("I", [x.id for x in tokenize(t)]).tobytes() for t in spelt]
 
     def _learn(self, missing: list[str]) -> None:
         latin = [w for w in missing if w.isascii() or max(w) <= "\xff"]
         cut = self.cut
-        parts = [cut(w.lower()) for w in latin]
-        new = self.tokens.missing({t for p in parts for t in p})
+        # a word of letters alone is one pre-token
+        plain, mixed = [w for w in latin if w.isalpha()], [w for w in latin if not w.isalpha()]
+        lower = [w.lower() for w in plain]
+        parts = [cut(w.lower()) for w in mixed]
+        new = self.tokens.missing(set(lower).union(chain.from_iterable(parts)))
         held = self.tokens.new
         held.update(zip(new, self._many(new), strict=True))
-        self.pieces.new.update((w, b"".join([held[t] for t in p])) for w, p in zip(latin, parts, strict=True))
+        get = held.__getitem__
+        self.pieces.new.update(zip(plain, map(get, lower), strict=True))
+        self.pieces.new.update(zip(mixed, [b"".join(map(get, p)) for p in parts], strict=True))
         rest = [w for w in missing if w not in self.pieces.new]
         if rest:
             self.pieces.new.update(zip(rest, self._whole(rest), strict=True))
@@ -148,6 +158,33 @@ class PieceEncoder:
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        """Words are cut and numbered by Arrow: each distinct one is looked up once, and ids are gathered by their numbers."""
+        plain = [not _ODD_SPACE.search(x) for x in texts]
+        if not all(plain):
+            odd = iter(self._by_words([x for x, p in zip(texts, plain, strict=True) if not p]))
+            rest = iter(self._encode([x for x, p in zip(texts, plain, strict=True) if p]))
+            return [next(rest) if p else next(odd) for p in plain]
+        try:
+            cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        except UnicodeEncodeError:  # lone surrogates
+            return self._by_words(texts)
+        numbered = cut.values.dictionary_encode()
+        words, at = numbered.dictionary.to_pylist(), np.array(numbered.indices)
+        if missing := self.pieces.missing(set(words)):
+            self._learn(missing)
+        held = self.pieces.new
+        found = [held[w] for w in words]
+        pool = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n = sizes[at]
+        ends = np.cumsum(n)
+        place = np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - n), n)
+        place += np.arange(len(place))
+        data = pool[place].tobytes()
+        edges = (4 * np.concatenate([[0], ends])[np.array(cut.offsets)]).tolist()
+        return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         split = [_SPACE_BEFORE_WORD.split(x) if _ODD_SPACE.search(x) else x.split(" ") for x in texts]
         get = self.pieces.new.get
         found = [list(map(get, words)) for words in split]

@@ -39,3 +39,29 @@ def test_pairs_of_a_group_are_those_near_in_bits_and_length():
         wanted = {(i, j) for i in range(n) for j in range(i + 1, n) if near(i, j)}
         assert wanted and set(zip(found["x"].to_pylist(), found["y"].to_pylist(), strict=True)) == wanted
 
+
+
+def test_words_are_looked_up_once_for_each_distinct_one():
+    from bourseline.llm.tokens import PieceEncoder, public_path
+
+    enc = PieceEncoder(public_path("word_bpe_49k.json"), False, pieces=50, tokens=60)
+    texts = ["the cat, the dog and the cat " * 200, "", "odd  spaces here \t and\nthere ", "Ünïcode ŵords naïve x\x01y 3a4b ÷   z", " lead", "ª µ ß ÿ"] * 3 + [f"w{i} v{i * i}, q{i}." for i in range(300)]
+    whole = enc.tokenizer.encode_batch(texts, add_special_tokens=False)
+    expected = [np.array(x.ids, "<u4").tobytes() for x in whole]
+    assert enc.encode(texts) == expected and enc.encode(texts, group=40) == expected
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    enc = PieceEncoder(public_path("word_bpe_49k.json"), False)
+    enc.pieces.new = Counted()
+    enc.encode([" ".join(["a bird and a tree"] * 5000)])
+    assert Counted.asked <= 5
