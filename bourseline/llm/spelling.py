@@ -12,10 +12,11 @@ Sums and best words of the groups are then combined for each word.
 Words: maximal runs of ``[A-Za-z\\u00C0-\\u00FF]`` with only A-Z lower-cased.
 Every 31st occurrence by hash loses a letter, which plants misspellings.  The
 best of several words is that of largest count, then the first in the order of
-code points.  A null text has no words; a null doc_id is written as nothing.
-Rows that repeat a doc_id and its text count again.  An empty table gives an
-empty one.  Only ``doc_id`` and ``text`` are read; further columns may have any
-name.
+code points.  No table is broadcast: a table of words is small as a file and
+many times that as rows, and Spark does not count what an explode adds.  A null
+text has no words; a null doc_id is written as nothing.  Rows that repeat a
+doc_id and its text count again.  An empty table gives an empty one.  Only
+``doc_id`` and ``text`` are read; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def shortened(words: DataFrame) -> DataFrame:
     """``word, near, best`` from words that another word becomes by losing a letter, for both of them."""
     losing = words.select(_rank().alias("own"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: _without(F.col("word"), i)))).alias("key"))
     whole = words.select(F.col("word").alias("key"), _rank().alias("short"))
-    met = losing.join(whole, "key")
+    met = stored(losing.join(whole.hint("merge"), "key"), "shortened")
     longer = met.select(F.col("own.word").alias("word"), F.lit(1).cast("long").alias("near"), F.col("short").alias("best"))
     shorter = met.groupBy("key").agg(F.count("*").alias("near"), F.min("own").alias("best"))
     return longer.unionByName(shorter.withColumnRenamed("key", "word"))
@@ -95,12 +96,12 @@ def with_roots(forms: DataFrame) -> DataFrame:
     step = stored(forms.filter("form IS NOT NULL").select("word", F.col("form").alias("root")), "forms")
     roots = step
     while True:  # each round doubles the steps taken
-        on = roots.join(roots.select(F.col("word").alias("root"), F.col("root").alias("further")), "root", "left")
+        on = roots.join(roots.select(F.col("word").alias("root"), F.col("root").alias("further")).hint("merge"), "root", "left")
         further = stored(on.select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         if further.filter("moved").isEmpty():
             break
         roots = further.drop("moved")
-    return forms.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return forms.join(roots.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def spelling_forms(docs: DataFrame) -> DataFrame:
@@ -114,4 +115,4 @@ def respelled(docs: DataFrame, forms: DataFrame) -> DataFrame:
     changes = forms.filter("root <> word").select("word", "root")
     run = F.explode(F.regexp_extract_all(text_or_empty(), F.lit(LETTERS + "+"), F.lit(0)))
     own = docs.select("doc_id", run.alias("run")).select("doc_id", F.translate("run", UPPER, LOWER).alias("word"))
-    return own.groupBy("doc_id", "word").agg(F.count("*").alias("times")).join(changes, "word").select("doc_id", "word", "root", "times")
+    return own.groupBy("doc_id", "word").agg(F.count("*").alias("times")).join(changes.hint("merge"), "word").select("doc_id", "word", "root", "times")
