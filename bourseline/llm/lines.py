@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .alignment import by_bits, texts_within, trimmed
+from .alignment import all_within, by_bits, trimmed
 from .common import plain_names, BROADCAST_IDS, discard, forget, stored
 from .graph import components
 from .near_dup import mixed
@@ -52,8 +52,8 @@ MISSED = 0.0002  # share of lines that meet on no block when a tenth of the bits
 WIDTH = 16  # bits of a block: 100 million lines are groups of about 1,500 on average, were their hashes random
 ROUND = 7  # blocks of one round at least: shuffled entries of a round are gone before the next begins
 ENTRIES = 10_000_000  # entries of a round, if that is more
-_LARGE = 256  # members from which on a group is compared one row at a time
-_CROWD = 64  # candidates of one member from which on a group has leaders
+_FEW = 4  # candidates of one member up to which all pairs of a group are given at once
+_CROWD = 16  # later candidates of one member after which leaders find the others
 
 _ODD = re.compile(r"[\W_]+")
 _DIGIT = re.compile(r"\d")
@@ -177,7 +177,7 @@ def _hashed(docs: list[int], keys: list[int], texts: list[str], least: int, min_
     return pa.RecordBatch.from_arrays([*own, *_halves(owner[long_], word[long_], len(kept)), *_halves(np.concatenate(where), np.concatenate(grams), len(kept))], names=[x.split()[0] for x in _OCCURRENCES.split(", ")])
 
 
-def _occurrences(min_words: int, least: int, size: int = 500_000):
+def _occurrences(min_words: int, least: int, size: int = 150_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, keys, texts, held = [], [], [], 0
@@ -239,10 +239,13 @@ def _rows(pairs: list[tuple[np.ndarray, np.ndarray]], members: list[tuple[np.nda
     none = np.empty(0, np.int64)
     u, v = (np.concatenate([none, *(p[i] for p in pairs)]).astype(np.int64) for i in (0, 1))
     u, v = np.minimum(u, v), np.maximum(u, v)
-    pairs_ = np.unique(np.stack([u, v], 1)[u != v], axis=0)
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    first = (u != v) & np.concatenate([np.ones(min(1, len(u)), bool), (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
+    u, v = u[first], v[first]
     group, a, sim, more = (np.concatenate([none, *(m[i] for m in members)]).astype(np.int64) for i in range(4))
-    empty = np.zeros(len(pairs_), np.int64)
-    columns = np.repeat([0, 1], [len(pairs_), len(a)]), np.concatenate([pairs_[:, 0], group]), np.concatenate([pairs_[:, 1], a]), np.concatenate([empty, sim]), np.concatenate([empty, more])
+    empty = np.zeros(len(u), np.int64)
+    columns = np.repeat([0, 1], [len(u), len(a)]), np.concatenate([u, group]), np.concatenate([v, a]), np.concatenate([empty, sim]), np.concatenate([empty, more])
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.int64()] * 4), strict=True)], names=[x.split()[0] for x in _MET.split(", ")])
 
 
@@ -251,49 +254,65 @@ def _meet(similarity: float):
 
 
 def _met(table: pa.Table, similarity: float) -> pa.Table:
-    """Candidates of one share of the groups; a group in which a member has many of them is given whole, for ``_lead``."""
+    """Candidates of one share of the groups.
+
+    A group in which a member has more than a few gives each member's least
+    candidate only, and is given whole for ``_lead``: its pairs do not grow
+    with the square of its size.
+    """
     key, sim, more, line = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("key", "<u4"), ("sim", "<u8"), ("more", "<u4"), ("a", "<i8")))
     share = np.int64(table.column("share")[0].as_py())
-    # by length within a group, so that a line is compared to those of lengths near its own only
-    order = np.argsort(key.astype(np.uint64) << np.uint64(8) | sim & np.uint64(255))
-    key, sim, more, line = key[order], sim[order], more[order], line[order]
-    reach = np.searchsorted(place := key.astype(np.int64) << 8 | (sim & np.uint64(255)).astype(np.int64), np.minimum(place + _apart(similarity), place | 255), side="right")
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    ends = np.append(new[1:], len(key))
-    pairs, members = [], []
-
-    def crowd(rows: np.ndarray) -> None:
-        members.append((np.full(len(rows), share << 32) | key[rows].astype(np.int64), line[rows], sim[rows].view(np.int64), more[rows]))
-
-    small = ends - new <= _LARGE
-    for a, b in zip(new[~small].tolist(), ends[~small].tolist(), strict=True):
-        own, total = [], 0
-        for i in range(a, b - 1):
-            hit = i + 1 + np.flatnonzero(_candidates(sim[i + 1 : reach[i]], sim[i]))
-            hit = hit[_sure(sim, more, i, hit, similarity)]
-            own.append((line[np.full(len(hit), i)], line[hit]))
-            total += len(hit)
-            if total > _CROWD * (b - a):
-                crowd(np.arange(a, b))
-                break
-        else:
-            pairs += own
-    at = np.flatnonzero(np.repeat(small, ends - new))
-    one, two = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    step = 0
-    while len(at):  # every pair of a group that lengths allow lies at some step
+    # by length within a group, so that a line is compared to those of lengths near its own only; lengths of two groups are never near
+    place = key.astype(np.uint64) << np.uint64(9) | sim & np.uint64(255)
+    if len(key) < 1 << 23:
+        place = np.sort(place << np.uint64(23) | np.arange(len(key), dtype=np.uint64))
+        order, place = (place & np.uint64((1 << 23) - 1)).astype(np.int32), (place >> np.uint64(23)).astype(np.int64)
+    else:
+        order = np.argsort(place)
+        place = place[order].astype(np.int64)
+    sim, more, line = sim[order], more[order], line[order]
+    far = _apart(similarity)
+    ahead = np.zeros(len(place), np.int16)
+    one, two, unseen = [np.empty(0, np.int32)], [np.empty(0, np.int32)], np.zeros(len(place) + 1, np.int32)
+    at, step = None, 0  # rows whose next row is near in length: all of them are looked at in one piece until few are left
+    while True:  # every pair of a group that lengths allow lies at some step
         step += 1
-        at = at[at + step < reach[at]]
-        hit = at[_candidates(sim[at], sim[at + step])]
+        if at is None:
+            near = place[step:] - place[:-step] <= far
+            if 4 * np.count_nonzero(near) > len(place):
+                hit = np.flatnonzero(near & _candidates(sim[step:], sim[:-step]))
+            else:
+                at = np.flatnonzero(near)
+        if at is not None:
+            at = at[at + step < len(place)]
+            at = at[place[at + step] - place[at] <= far]
+            if not len(at):
+                break
+            hit = at[_candidates(sim[at], sim[at + step])]
         hit = hit[_sure(sim, more, hit, hit + step, similarity)]
-        one.append(hit)
-        two.append(hit + step)
+        one.append(hit.astype(np.int32))
+        two.append((hit + step).astype(np.int32))
+        ahead[hit] += 1
+        full = hit[ahead[hit] == _CROWD]
+        if len(full):  # what they have not seen goes to the group's leaders
+            np.add.at(unseen, full + step + 1, 1)
+            np.add.at(unseen, np.maximum(full + step + 1, np.searchsorted(place, place[full] + far, side="right")), -1)
+            at = np.flatnonzero(place[step:] - place[:-step] <= far) if at is None else at
+            at = at[ahead[at] < _CROWD]
     u, v = np.concatenate(one), np.concatenate(two)
-    degree = np.bincount(u, minlength=len(key)) + np.bincount(v, minlength=len(key))
-    crowded = np.repeat(np.maximum.reduceat(degree, new) > _CROWD, ends - new)
-    pairs.append((line[u[~crowded[u]]], line[v[~crowded[u]]]))
-    crowd(np.flatnonzero(crowded & (degree > 0)))
-    return _rows(pairs, members)
+    degree = np.bincount(u, minlength=len(place)) + np.bincount(v, minlength=len(place))
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(place)), bool), place[1:] >> 9 != place[:-1] >> 9]))
+    crowded = np.repeat(np.maximum.reduceat(degree, new) > _FEW, np.diff(np.append(new, len(place))))
+    lone = ~crowded[u]
+    pairs = [(line[u[lone]], line[v[lone]])]
+    u, v = u[~lone], v[~lone]
+    least = np.full(len(place), np.iinfo(np.int64).max)
+    np.minimum.at(least, u, line[v])
+    np.minimum.at(least, v, line[u])
+    hooked = np.flatnonzero(crowded & (degree > 0))
+    pairs.append((line[hooked], least[hooked]))
+    rows = np.flatnonzero(crowded & ((degree > 0) | (np.cumsum(unseen[:-1]) > 0)))
+    return _rows(pairs, [(share << 32 | place[rows] >> 9, line[rows], sim[rows].view(np.int64), more[rows])])
 
 
 def _lead(leaders: int, similarity: float):
@@ -301,12 +320,15 @@ def _lead(leaders: int, similarity: float):
 
     def run(table: pa.Table) -> pa.Table:
         group, line, sim, more, label = (np.array(table.column(c)) for c in ("x", "y", "z", "more", "label"))
-        sim = sim.view(np.uint64)
-        order = np.lexsort((mixed(line.view(np.uint64)), group))  # one line leads in all its groups at once
-        group, line, sim, more, label = group[order], line[order], sim[order], more[order].astype(np.uint32), label[order]
+        order = np.argsort(group, kind="stable")
+        new = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0]))
+        parted = np.minimum.reduceat(label[order], new) != np.maximum.reduceat(label[order], new)  # groups of one component are done
+        order = order[np.repeat(parted, np.diff(np.append(new, len(group))))]
+        order = order[np.lexsort((mixed(line[order].view(np.uint64)), group[order]))]  # one line leads in all its groups at once
+        group, line, sim, more, label = group[order], line[order], sim[order].view(np.uint64), more[order].astype(np.uint32), label[order]
         pairs, members = [], []
-        new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(group)], strict=True):
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(group)), bool), group[1:] != group[:-1]]))
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(group)][: len(new)], strict=True):
             led, i = 0, a
             while i < b and led < leaders:
                 hit = i + 1 + np.flatnonzero(_candidates(sim[i + 1 : b], sim[i]) & (label[i + 1 : b] != label[i]))
@@ -347,8 +369,8 @@ def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = batch.column("u"), batch.column("v")
-            sides = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-            good = pa.array([texts_within(x, y, int((1 - similarity) * max(len(x), len(y)))) for x, y in sides], pa.bool_())
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            good = pa.array(all_within(x, y, [int((1 - similarity) * max(len(a), len(b))) for a, b in zip(x, y, strict=True)]), pa.bool_())
             yield pa.RecordBatch.from_arrays([u.filter(good), v.filter(good)], names=["u", "v"])
 
     return run
@@ -391,11 +413,11 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.85, min_words: int = 3
     met = reduce(DataFrame.unionByName, rounds)
     members = met.filter("kind = 1").select("x", "y", "z", "more")
     pairs = stored(met.filter("kind = 0").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "pairs")
-    ends = stored(pairs.select(F.col("u").alias("a")).unionByName(pairs.select(F.col("v").alias("a"))).unionByName(members.select(F.col("y").alias("a"))).distinct().join(lines.select("a", "first"), "a"), "ends")
+    ends = stored(pairs.select(F.col("u").alias("a")).unionByName(pairs.select(F.col("v").alias("a"))).unionByName(members.select(F.col("y").alias("a"))).distinct().hint("shuffle_hash").join(lines.select("a", "first"), "a"), "ends")
     wanted = ends.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.t").alias("t")).agg(F.collect_list(F.struct("a", F.col("first.line").alias("line"))).alias("wanted"))
     wanted = stored(wanted, "wanted")
     few = wanted.limit(BROADCAST_IDS // 8 + 1).count() <= BROADCAST_IDS // 8 and ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    own = keyed.join(F.broadcast(wanted) if few else wanted, ["doc_id", "t"]).select("text", "wanted").mapInArrow(_forms, "a long, form string")
+    own = keyed.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), ["doc_id", "t"]).select("text", "wanted").mapInArrow(_forms, "a long, form string")
     own = stored(own.dropDuplicates(["a"]), "forms")
     discard(ends, wanted)
 
@@ -418,17 +440,16 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.85, min_words: int = 3
     leaders = 1
     while not members.isEmpty():
         named = stored(members.join(labels.withColumnRenamed("v", "y"), "y", "left").select("x", "y", "z", "more", F.coalesce("label", "y").alias("label")), "members")
-        parted = named.groupBy("x").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("x")
-        met = stored(named.join(parted, "x").withColumn("share", F.pmod(F.xxhash64("x"), F.lit(shares)).cast("int")).groupBy("share").applyInArrow(_lead(leaders, similarity), _MET), "met")
+        met = stored(named.withColumn("share", F.pmod(F.xxhash64("x"), F.lit(shares)).cast("int")).groupBy("share").applyInArrow(_lead(leaders, similarity), _MET), "met")
         members = met.filter("kind = 1").select("x", "y", "z", "more")
         more = links(met.filter("kind = 0").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct())
         labels = components(labels.select(F.col("label").alias("u"), "v").unionByName(more))
         leaders *= 8
     # the first occurrence of every group that has more than one
-    named = lines.join(labels.withColumnRenamed("v", "a"), "a", "left").select("a", "b", "first", "n", "label")
+    named = lines.join(labels.withColumnRenamed("v", "a").hint("shuffle_hash"), "a", "left").select("a", "b", "first", "n", "label")
     fuzzy = named.filter("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("keep"))
     many = named.filter("label IS NULL AND n > 1").select("a", "b", F.col("first").alias("keep")).unionByName(named.filter("label IS NOT NULL").join(fuzzy, "label").select("a", "b", "keep"))
-    gone = found.join(many, ["a", "b"]).filter(place != F.col("keep"))
+    gone = found.join(many.hint("shuffle_hash"), ["a", "b"]).filter(place != F.col("keep"))
     return gone.groupBy("doc_id", "t").agg(F.collect_set("line").alias("lines"))
 
 
