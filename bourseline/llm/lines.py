@@ -14,9 +14,9 @@ similarity of their normal forms, and each connected group keeps its first
 occurrence, the least (doc_id, line).
 
 All candidates of a group are verified, but for those that are connected
-already (each line meets its least candidate first): in a crowded group a few leaders are compared to their candidates, and
-what other links leave unconnected goes on with eight times as many leaders,
-until every member has led or has no candidate outside its component.
+already (each line meets its least candidate first): in a crowded group each line gives its least candidate; then a few
+leaders, which are lines outside the largest component, are compared to their candidates, and what other links leave
+unconnected goes on with sixteen times as many leaders, until all outside the largest component have led.
 
 Null text has no lines and stays null.  Rows without a doc_id are kept whole
 and are nobody's first occurrence.  Rows that repeat a doc_id with its text are
@@ -63,6 +63,7 @@ _MET = "kind int, x long, y long, z long, more long"
 #: A byte's bits as eight counters of one byte each.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(-1)
 _STEP = 254  # features that such counters can add up
+_MOST_POWERS = 1 << 18
 
 
 def normalised(line: str) -> str:
@@ -76,19 +77,36 @@ def _folds() -> np.ndarray:
     return np.array([48 if c.isdecimal() else ord(c) if c.isalnum() else 10 if c == "\n" else 32 for c in chars], np.uint32)
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+@cache
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and their inverses, of 64 bits."""
+    out = np.full((2, _MOST_POWERS), base, np.uint64)
+    out[1] = pow(base, -1, 1 << 64)
+    out[:, 0] = 1
+    return tuple(np.cumprod(out, axis=1, dtype=np.uint64))
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, base: int) -> np.ndarray:
     """Polynomial hashes of runs of values that follow each other."""
-    sizes = np.diff(np.append(starts, len(values)))
-    if not len(sizes):
+    if not len(starts):
         return np.empty(0, np.uint64)
-    place = np.arange(len(values)) - np.repeat(starts, sizes)
-    return mixed(np.add.reduceat((values + np.uint64(1)) * _powers(int(sizes.max()), base)[place], starts))
+    powers, inverse = _powers(base)
+    if len(values) <= len(powers):
+        return mixed(np.add.reduceat((values + np.uint64(1)) * powers[: len(values)], starts) * inverse[starts])
+    # longer ones in pieces of whole runs; a run that is longer than that by itself has its own powers
+    cuts, ends = [0], np.append(starts[1:], len(values))
+    while cuts[-1] < len(starts):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, starts[cuts[-1]] + len(powers), side="right"))))
+    out = []
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        own = values[starts[i] : ends[j - 1]]
+        if len(own) <= len(powers):
+            out.append(run_hashes(own, starts[i:j] - starts[i], base))
+        else:
+            alone = np.full(len(own), base, np.uint64)
+            alone[0] = 1
+            out.append(mixed(np.array([((own + np.uint64(1)) * np.cumprod(alone, dtype=np.uint64)).sum(dtype=np.uint64)])))
+    return np.concatenate(out)
 
 
 def simhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -320,24 +338,33 @@ def _lead(leaders: int, similarity: float):
 
     def run(table: pa.Table) -> pa.Table:
         group, line, sim, more, label = (np.array(table.column(c)) for c in ("x", "y", "z", "more", "label"))
-        order = np.argsort(group, kind="stable")
-        new = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0]))
-        parted = np.minimum.reduceat(label[order], new) != np.maximum.reduceat(label[order], new)  # groups of one component are done
-        order = order[np.repeat(parted, np.diff(np.append(new, len(group))))]
-        order = order[np.lexsort((mixed(line[order].view(np.uint64)), group[order]))]  # one line leads in all its groups at once
+        order = np.lexsort((label, group))
+        same_group = np.diff(group[order]) == 0
+        runs = np.flatnonzero(np.concatenate([[True], ~same_group | (np.diff(label[order]) != 0)]))  # of one group and component
+        sizes = np.diff(np.append(runs, len(group)))
+        groups = np.flatnonzero(np.concatenate([[True], ~same_group])[runs])
+        many = np.diff(np.append(groups, len(runs)))
+        most = np.repeat(np.maximum.reduceat(sizes, groups), many) == sizes
+        first = np.cumsum(most) - np.repeat((np.cumsum(most) - most)[groups], many) == 1  # of several largest ones the first
+        largest = np.repeat(most & first, sizes)
+        parted = np.repeat(np.repeat(many > 1, many), sizes)  # groups of one component are done
+        # those outside the largest component lead, and one line leads in all its groups at once
+        largest, order = largest[parted], order[parted]
+        turn = np.lexsort((mixed(line[order].view(np.uint64)), largest, group[order]))
+        largest, order = largest[turn], order[turn]
         group, line, sim, more, label = group[order], line[order], sim[order].view(np.uint64), more[order].astype(np.uint32), label[order]
         pairs, members = [], []
         new = np.flatnonzero(np.concatenate([np.ones(min(1, len(group)), bool), group[1:] != group[:-1]]))
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(group)][: len(new)], strict=True):
-            led, i = 0, a
-            while i < b and led < leaders:
+            led, i, end = 0, a, a + int(np.count_nonzero(~largest[a:b]))
+            while i < end and led < leaders:
                 hit = i + 1 + np.flatnonzero(_candidates(sim[i + 1 : b], sim[i]) & (label[i + 1 : b] != label[i]))
                 hit = hit[_sure(sim, more, i, hit, similarity)]
                 if len(hit):
                     pairs.append((np.full(len(hit), line[i]), line[hit]))
                     led += 1
                 i += 1
-            if b - i > 1:
+            if i < end:
                 members.append((group[i:b], line[i:b], sim[i:b].view(np.int64), more[i:b]))
         return _rows(pairs, members)
 
@@ -437,14 +464,14 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.85, min_words: int = 3
     labels = components(labels.select(F.col("label").alias("u"), "v").unionByName(links(left.groupBy("p", "q").agg(F.min("u").alias("u"), F.min_by("v", "u").alias("v")).select("u", "v"))))
     left = apart(left.select("u", "v"), labels)
     labels = components(labels.select(F.col("label").alias("u"), "v").unionByName(links(left.select("u", "v"))))
-    leaders = 1
+    leaders = 4
     while not members.isEmpty():
         named = stored(members.join(labels.withColumnRenamed("v", "y"), "y", "left").select("x", "y", "z", "more", F.coalesce("label", "y").alias("label")), "members")
         met = stored(named.withColumn("share", F.pmod(F.xxhash64("x"), F.lit(shares)).cast("int")).groupBy("share").applyInArrow(_lead(leaders, similarity), _MET), "met")
         members = met.filter("kind = 1").select("x", "y", "z", "more")
         more = links(met.filter("kind = 0").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct())
         labels = components(labels.select(F.col("label").alias("u"), "v").unionByName(more))
-        leaders *= 8
+        leaders *= 16
     # the first occurrence of every group that has more than one
     named = lines.join(labels.withColumnRenamed("v", "a").hint("shuffle_hash"), "a", "left").select("a", "b", "first", "n", "label")
     fuzzy = named.filter("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("keep"))
